@@ -5,6 +5,8 @@ A sequence is one piece, so no sequence crosses documents and none needs padding
 
 from __future__ import annotations
 
+import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,9 +18,9 @@ MAX_LENGTH = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Entries of a worker's cache of encoded words; when full it starts anew.
-CACHE_WORDS = 400_000
-#: Characters encoded at a time.
-BATCH_CHARS = 4_000_000
+CACHE_WORDS = 200_000
+#: Characters split into words at a time, and words given to the tokenizer at a time.
+BATCH_CHARS, LEARN_WORDS = 1_000_000, 4096
 
 PIECES = "start long, length long, doc_tokens long, ids binary"
 
@@ -31,6 +33,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, end_id: int) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would each keep memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -44,14 +47,19 @@ class WordEncoder:
         self.ids = np.array([self.end_id], np.uint32)
 
     def learn(self, words: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        ids = [x.ids for x in found]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        lengths: list[int] = []
+        ids = array("I")
+        for k in range(0, len(words), LEARN_WORDS):
+            for x in self.tokenizer.encode_batch_fast(words[k : k + LEARN_WORDS], add_special_tokens=False):
+                own = x.ids
+                lengths.append(len(own))
+                ids.extend(own)
         at = len(self.index)
         self.index.update(zip(words, range(at, at + len(words))))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))])
+        sizes = np.array(lengths, np.int64)
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.lengths = np.concatenate([self.lengths, sizes])
+        self.ids = np.concatenate([self.ids, np.frombuffer(ids, np.uint32)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, the end id after each; tokens of each text, with that id."""
