@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexaudit.llm import chat, exact, minhash, mixing, packing, urlfilter
+from lexaudit.llm import ann, chat, exact, langid, minhash, mixing, packing, ppm, urlfilter
 from lexaudit.llm.common import read_table
 
 
@@ -46,6 +46,20 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select(*docs.columns, "copy", "copies", "mix_key")
 
 
+def id_fold(n: int):
+    """crc32 of the id as text, modulo n; a null id counts as an empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ppm.score(read_table(spark, sf_dir, "documents"), id_fold(5) != 1)
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), lambda vec_id: F.pmod(vec_id, F.lit(100)) == 0)
+
+
 HOST_RULES = (
     urlfilter.HostRule("block", "com", "/en/"),
     urlfilter.HostRule("allow", "example.com", "/en/7"),
@@ -59,6 +73,12 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(read_table(spark, sf_dir, "pages"), HOST_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_fold(3) == 1
+    found = langid.identify(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact.exact_dedup(read_table(spark, sf_dir, "documents"), keep="max")
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("norm_sha256").alias("text_sha256"))
@@ -69,7 +89,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
     "op3_chat": op3_chat,
     "op4_mix": op4_mix,
+    "op5_ppm": op5_ppm,
+    "op6_ann": op6_ann,
     "op7_urls": op7_urls,
+    "op9_language": op9_language,
     "op10_exact": op10_exact,
 }
 
