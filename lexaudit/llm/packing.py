@@ -5,31 +5,37 @@ A sequence is one piece, so no sequence crosses documents and none needs padding
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_LENGTH = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Entries of a worker's cache of encoded words; when full it starts anew.
-CACHE_WORDS = 200_000
-#: Characters split into words at a time, and words given to the tokenizer at a time.
-BATCH_CHARS, LEARN_WORDS = 1_000_000, 4096
+#: Entries of a worker's cache of encoded pieces; when full it starts anew.
+CACHE_PIECES = 500_000
+#: Characters split at a time, and pieces given to the tokenizer at a time.
+BATCH_CHARS, LEARN_PIECES = 1_000_000, 4096
+#: Texts that this tokenizer lower-cases letter by letter and then splits by SPLIT (a fixed value of its file).
+PLAIN = regex.compile(r"[ \t\n\r!-~\xa1-\xff]*")
+SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 PIECES = "start long, length long, doc_tokens long, ids binary"
 
 
 class WordEncoder:
-    """Token ids of texts, encoding each distinct blank-separated word once.
+    """Token ids of texts; the tokenizer gets each distinct piece of them once.
 
-    Word-level BPE never joins over white space, so the ids of a text are those of its words in turn. Only space, tab and
-    line ends are split on; any other white space stays inside a word, for the tokenizer to treat.
+    Word-level BPE never joins over white space or over the file's own split, so the ids of a text are those of its pieces
+    in turn. Plain text is split by SPLIT, if that is the file's split after lower-casing. Any other text is split at
+    space, tab and line ends only, and of its words those that are not plain stay whole, for the tokenizer to treat.
     """
 
     def __init__(self, path: str, end_id: int) -> None:
@@ -38,45 +44,56 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id = end_id
+        file = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (file.get("normalizer") or {}).get("normalizers", [])]
+        self.splits = steps == ["NFC", "Replace", "Lowercase"] and SPLIT.pattern in json.dumps(file.get("pre_tokenizer"), ensure_ascii=False).replace("\\\\", "\\")
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {"": 0, "\n": 1}  # "\n" is never a word and stands for the end
+        self.index: dict[str, int] = {"": 0, "\n": 1}  # "\n" is never a piece and stands for the end
         self.lengths = np.array([0, 1], np.int64)
         self.starts = np.array([0, 0], np.int64)
         self.ids = np.array([self.end_id], np.uint32)
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, pieces: list[str]) -> None:
         lengths: list[int] = []
         ids = array("I")
-        for k in range(0, len(words), LEARN_WORDS):
-            for x in self.tokenizer.encode_batch_fast(words[k : k + LEARN_WORDS], add_special_tokens=False):
+        for k in range(0, len(pieces), LEARN_PIECES):
+            for x in self.tokenizer.encode_batch_fast(pieces[k : k + LEARN_PIECES], add_special_tokens=False):
                 own = x.ids
                 lengths.append(len(own))
                 ids.extend(own)
         at = len(self.index)
-        self.index.update(zip(words, range(at, at + len(words))))
+        self.index.update(zip(pieces, range(at, at + len(pieces))))
         sizes = np.array(lengths, np.int64)
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
         self.lengths = np.concatenate([self.lengths, sizes])
         self.ids = np.concatenate([self.ids, np.frombuffer(ids, np.uint32)])
 
+    def is_plain(self, text: str) -> bool:
+        return self.splits and "<|" not in text and PLAIN.fullmatch(text) is not None
+
+    def pieces_of(self, text: str) -> list[str]:
+        if self.is_plain(text):
+            return SPLIT.findall(text.lower())
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        return [p for w in words for p in (SPLIT.findall(w.lower()) if self.is_plain(w) else (w,))]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, the end id after each; tokens of each text, with that id."""
-        if len(self.index) > CACHE_WORDS:
+        if len(self.index) > CACHE_PIECES:
             self.clear()
-        words: list[str] = []
+        pieces: list[str] = []
         sizes = np.empty(len(texts), np.int64)
         for i, text in enumerate(texts):
-            part = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            part = self.pieces_of(text)
             part.append("\n")
             sizes[i] = len(part)
-            words += part
-        get = self.index.get
-        where = list(map(get, words))
+            pieces += part
+        where = list(map(self.index.get, pieces))
         if None in where:
-            self.learn(list(dict.fromkeys(w for w, k in zip(words, where) if k is None)))
-            where = list(map(get, words))
+            self.learn(list(dict.fromkeys(w for w, k in zip(pieces, where) if k is None)))
+            where = list(map(self.index.__getitem__, pieces))
         at = np.array(where, np.int64)
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)

@@ -39,12 +39,22 @@ def test_packing_round_trip(spark):
 
 def test_packing_cache_starts_anew(spark, monkeypatch):
     encoder = packing.WordEncoder(Q.tokenizer_path(packing.TOKENIZER), 1)
-    monkeypatch.setattr(packing, "CACHE_WORDS", 3)
+    monkeypatch.setattr(packing, "CACHE_PIECES", 3)
     for text in ("a b c d e", "f g h", "a b"):
         ids, n = encoder.encode([text])
         assert ids.tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1] and n.tolist() == [len(ids)]
 
 
+def test_words_split_as_the_tokenizer_splits():
+    encoder = packing.WordEncoder(Q.tokenizer_path(packing.TOKENIZER), 1)
+    assert encoder.splits
+    rng = random.Random(8)
+    letters = [*"abcXYZ09''.,*<|>-_\\\"", "'s", "'ll", "é", "É", "ß", "ª", "²", "½", "\xad", "\xa0", "\x85", "\u0130", "ŉ", "Σ", "\u0301", "東", "<|endoftext|>", " ", "\n", "\x1f"]
+    for _ in range(4000):
+        text = "".join(rng.choices(letters, k=rng.randint(0, 14)))
+        assert encoder.encode([text])[0].tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1], repr(text)
+
+
 def test_decompose():
     for n in range(1, 9000, 7):
         got = packing.decompose(n, 2048)
