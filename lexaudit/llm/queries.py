@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexaudit.llm import ann, chat, exact, langid, minhash, mixing, packing, ppm, urlfilter
+from lexaudit.llm import ann, chat, exact, langid, minhash, mixing, packing, ppm, suffix, urlfilter
 from lexaudit.llm.common import read_table
 
 
@@ -73,6 +73,12 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(read_table(spark, sf_dir, "pages"), HOST_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.remove_repeats(read_table(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["begin"])
+    return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = id_fold(3) == 1
     found = langid.identify(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ~held_out)
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ppm": op5_ppm,
     "op6_ann": op6_ann,
     "op7_urls": op7_urls,
+    "op8_suffix": op8_suffix,
     "op9_language": op9_language,
     "op10_exact": op10_exact,
 }
