@@ -8,11 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexaudit.llm import exact, minhash, mixing, packing
+from lexaudit.llm import exact, langid, minhash, mixing, packing
 from lexaudit.llm.common import read_table, shared_dir
-from lexaudit.llm.queries import tokenizer_path
+from lexaudit.llm.queries import id_fold, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document is rejected as no text of any language if letters make up less of its non-blank characters.
+LEAST_LETTERS = 0.2
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language stay; those without letters, or mostly of other characters than letters, go."""
+    found = langid.identify(docs, id_fold(3) != 1)
+    bare = F.length(F.regexp_replace("text", r"\s", ""))
+    letters = F.length(F.regexp_replace("text", r"[^\p{L}\p{M}]", ""))
+    return found.where((F.col("lang_pred") != langid.UND) & (letters >= LEAST_LETTERS * bare)).select(*COLUMNS)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,6 +48,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
+    ("language", language),
     ("exact_copies", exact_copies),
     ("near_copies", near_copies),
     ("mixture", mixture),
