@@ -26,6 +26,8 @@ CACHE_WORDS = 300_000
 #: Words labelled at a time.
 BATCH_WORDS = 600_000
 ORDER = 4
+#: Log-probability of a character that no language has, and what each character of missing context costs.
+UNSEEN, BACK_OFF = -16.0, 0.9
 UND = "und"
 
 #: Letter runs; very long runs are scored in pieces.
@@ -61,27 +63,32 @@ class Model:
     grams: dict[str, int] = field(default_factory=dict)
     table: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
     scripts: dict[str, list[int]] = field(default_factory=dict)
-    unseen: float = -16.0
-
-    def score(self, word: str) -> np.ndarray:
-        """Log-probability of a word under each language, not candidates ruled out."""
-        padded = " " * (ORDER - 1) + word.lower() + " "
-        total = np.zeros(len(self.langs), np.float32)
-        for i in range(ORDER - 1, len(padded)):
-            for n in range(ORDER, 0, -1):
-                k = self.grams.get(padded[i - n + 1 : i + 1])
-                if k is not None:
-                    total += self.table[k]
-                    total += np.float32((n - ORDER) * 0.9)
-                    break
-            else:
-                total += self.unseen
-        candidates = self.scripts.get(script(word))
-        if candidates is not None and len(candidates) < len(self.langs):
-            out = np.full(len(self.langs), RULED_OUT + total.max(initial=0), np.float32)
-            out[candidates] = total[candidates]
-            return out
-        return total
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Log-probability of each word under each language, no candidates of its script ruled out."""
+        rows: list[int] = []
+        sizes = np.empty(len(words), np.int64)
+        get, none = self.grams.get, len(self.table) - 1
+        pad = " " * (ORDER - 1)
+        for w, word in enumerate(words):
+            padded = f"{pad}{word.lower()} "
+            begin = len(rows)
+            for i in range(ORDER, len(padded) + 1):
+                k = get(padded[i - ORDER : i])
+                if k is None:
+                    for n in range(ORDER - 1, 0, -1):
+                        k = get(padded[i - n : i])
+                        if k is not None:
+                            break
+                    else:
+                        k = none
+                rows.append(k)
+            sizes[w] = len(rows) - begin
+        ends = np.cumsum(sizes)
+        total = np.add.reduceat(self.table[rows], ends - sizes, axis=0)
+        out = np.zeros(len(self.langs), np.float32)
+        masks = {s: out if len(c) == len(self.langs) else np.where(np.isin(np.arange(len(self.langs)), c), 0, RULED_OUT).astype(np.float32) for s, c in self.scripts.items()}
+        return total + np.array([masks.get(script(w), out) for w in words], np.float32)
 
 
 def fit(sample: list[tuple[str, str]]) -> Model:
@@ -104,7 +111,7 @@ def fit(sample: list[tuple[str, str]]) -> Model:
     model = Model(langs)
     every = sorted({g for mine in counts for n in range(1, ORDER + 1) for g in mine[n]})
     model.grams = {g: i for i, g in enumerate(every)}
-    model.table = np.zeros((len(every), len(langs)), np.float32)
+    model.table = np.full((len(every) + 1, len(langs)), UNSEEN, np.float32)
     for k, mine in enumerate(counts):
         totals: dict[str, int] = defaultdict(int)
         kinds: dict[str, int] = defaultdict(int)
@@ -126,7 +133,7 @@ def fit(sample: list[tuple[str, str]]) -> Model:
             return out
 
         for g, i in model.grams.items():
-            model.table[i, k] = np.log(max(p(g), 1e-9))
+            model.table[i, k] = np.log(max(p(g), 1e-9)) - BACK_OFF * (ORDER - len(g))
     for s in sorted({s for x in letters for s in x}):
         model.scripts[s] = [k for k, x in enumerate(letters) if x.get(s, 0) >= SCRIPT_SHARE * max(sum(x.values()), 1)] or list(range(len(langs)))
     return model
@@ -195,7 +202,6 @@ class Labeller:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
         self.table = np.zeros((0, len(self.model.langs)), np.float32)
 
     def label(self, texts: list[str]) -> list[tuple[str, float, list[dict]]]:
@@ -210,7 +216,7 @@ class Labeller:
         if None in where:
             new = list(dict.fromkeys(w for w, k in zip(words, where) if k is None))
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-            self.table = np.vstack([self.table, np.array([self.model.score(w) for w in new], np.float32)])
+            self.table = np.vstack([self.table, self.model.scores(new)])
             where = list(map(self.index.get, words))
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         labels = viterbi(self.table[np.array(where, np.int64)], sizes, self.penalty)
