@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from lexaudit.plans import corpus, evaluation, extras, statistics
+
+PARTS = (corpus, statistics, evaluation, extras)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for part in PARTS for name, f in part.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
