@@ -104,8 +104,56 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = f"list_filter(regexp_split_to_array({LOWER.format('text')}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+#: RE2 knows no lookahead: a control string is taken whole here, which is the same unless two of them overlap.
+ESCAPED = r"regexp_replace(replace({}, '\', '\\'), '([<\[])((?:/?s>|</?SYS>>|\|[A-Za-z_]+\|>|(?:start|end)_of_turn>)|/?(?:INST|SYSTEM_PROMPT|TOOL_CALLS|AVAILABLE_TOOLS|TOOL_RESULTS)\])', '\1\\\2', 'g')"
+HASH = "('0x' || substr(md5({}), 1, 15))::BIGINT"
+
+
+def _urls_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    hosts = sorted(HOST_RULES, key=lambda r: (-len(r.name), r.name))
+    case = lambda pick: " ".join(f"WHEN (host = {quoted(r.host)} OR ends_with(host, {quoted('.' + r.host)})) AND starts_with(path, {quoted(r.path)}) THEN {quoted(pick(r))}" for r in hosts)
+    patterns = " ".join(f"WHEN regexp_matches(low, {quoted(p.pattern)}) THEN {quoted(p.verdict)}" for p in reversed(urlfilter.PATTERNS))
+    return f"""
+        WITH u AS (SELECT page_id, coalesce(url, '') AS url, {LOWER.format("coalesce(url, '')")} AS low FROM pages),
+        r AS (SELECT *, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM u),
+        h AS (SELECT page_id, low, {LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r)
+        SELECT page_id, host, path, CASE {case(lambda r: r.name)} END AS rule, CASE {case(lambda r: r.verdict)} {patterns} ELSE 'allow' END AS verdict FROM h
+    """
+
 
 ORACLES: dict[str, str] = {
+    "op2_minhash": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 2], ' ')) AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+              GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+        SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, d.doc_id = c AS kept FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS c FROM r GROUP BY a) USING (doc_id)
+    """,
+    "op3_chat": f"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '{PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{PROBE}'),
+        a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS said, coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS loss,
+                     sum({len(chat.TURN) + len(chat.BODY) + len(chat.END)} + length({ESCAPED.format("role")}) + length({ESCAPED.format("text")})) AS chars FROM t GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars FROM a
+    """,
+    "op4_mix": f"""
+        WITH s AS (SELECT coalesce(source, '') AS src, sum(length(coalesce(text, '')))::DOUBLE AS size FROM documents GROUP BY 1),
+        r AS (SELECT src, sum(size) OVER () * pow(size, {mixing.TEMPERATURE}) / (sum(CASE WHEN size > 0 THEN pow(size, {mixing.TEMPERATURE}) ELSE 0 END) OVER () * size) AS rate FROM s WHERE size > 0),
+        p AS (SELECT src, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY src ORDER BY k) AS cdf FROM (SELECT src, rate, unnest(generate_series(0, ceil(rate + 12 * sqrt(rate) + 30)::INT)) AS k FROM r)),
+        d AS (SELECT *, coalesce(source, '') AS src, ({HASH.format(f"'{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')")} + 0.5::DOUBLE) / 1152921504606846976::DOUBLE AS u FROM documents),
+        c AS (SELECT doc_id, text, lang, source, n_chars, (SELECT count(*) FROM p WHERE p.src = d.src AND cdf < u) AS copies FROM d),
+        e AS (SELECT *, unnest(range(copies)) AS copy FROM c)
+        SELECT doc_id, text, lang, source, n_chars, copy, copies, {HASH.format(f"'{mixing.SEED}:order:' || coalesce(doc_id::VARCHAR, '') || ':' || copy")} AS mix_key FROM e
+    """,
+    "op6_ann": """
+        WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 100 = 0),
+        p AS (SELECT q.vec_id AS query_id, v.vec_id, list_distance(q.x, v.x) AS score FROM q JOIN v ON q.vec_id <> v.vec_id)
+        SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM p) WHERE rank <= 10
+    """,
+    "op7_urls": _urls_sql(),
     "op10_exact": f"""
         WITH d AS (SELECT doc_id, {LOWER.format("coalesce(text, '')")} AS norm FROM documents),
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
