@@ -7,8 +7,9 @@ looking up are sorts and hash probes of arrays.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from lexaudit.llm.common import cut
 
 ORDER = 6
 #: Most n-grams of the highest order in the model; of more, those that occur most often stay. Bounds the broadcast.
-MAX_GRAMS = 1 << 21
+MAX_GRAMS = 3 << 19
 #: Most words whose counts are broadcast; the counts of others come by a join.
 MAX_WORDS = 1 << 20
 DISCOUNT = 0.5
@@ -177,7 +178,7 @@ def least_count(merged: DataFrame, kind: int, most: int) -> int:
 
 @dataclass
 class Order:
-    """Of one order: symbols after contexts (n-grams with counts), and context nodes with totals and kept symbols."""
+    """Counts of one order: symbols after contexts (n-grams), and context nodes with totals, kept counts and kept symbols."""
 
     grams: np.ndarray
     counts: np.ndarray
@@ -185,9 +186,22 @@ class Order:
     totals: np.ndarray
     kept: np.ndarray
     symbols: np.ndarray
-    below: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))  # total of the next shorter context without these symbols
-    below_kept: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    below_symbols: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+
+
+@dataclass
+class Level:
+    """The logs of one order that scoring needs, in 12 bytes for each n-gram and 24 for each node.
+
+    total, escape: of a context met first; below_total, below_escape: of the context one byte shorter, without the symbols kept here.
+    """
+
+    grams: np.ndarray
+    logs: np.ndarray
+    nodes: np.ndarray
+    total: np.ndarray
+    escape: np.ndarray
+    below_total: np.ndarray
+    below_escape: np.ndarray
 
 
 def build_order(grams: np.ndarray, counts: np.ndarray, least: int, n: int) -> Order:
@@ -217,26 +231,42 @@ def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
-def link(upper: Order, lower: Order, n: int) -> None:
-    """For each context of ``upper`` (n bytes), what the context one byte shorter holds besides the symbols kept here."""
-    mask = np.uint64((1 << 8 * n) - 1)
-    short = find(lower.nodes, upper.nodes & np.uint64((1 << 8 * (n - 1)) - 1))
-    own = lower.counts[find(lower.grams, upper.grams & mask)]  # kept here, so kept below
-    ctx = upper.grams >> np.uint64(8)
+def _logs(total: np.ndarray, kept: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of the totals and of the escapes' shares of them; 0 where nothing is left, as then the escape is certain."""
+    some = total > 0
+    share = (total - kept + DISCOUNT * symbols) / np.maximum(total, 1)
+    return np.where(some, np.log10(np.maximum(total, 1)), 0).astype(np.float32), np.log10(np.where(some, share, 1.0)).astype(np.float32)
+
+
+def level(own: Order, lower: Order | None, n: int) -> Level:
+    """Logs of the order of n-byte contexts, ``lower`` being that of contexts one byte shorter.
+
+    The highest order's logs are less their totals' already: a sure symbol's log is next to 0 and would drown in a difference.
+    """
+    logs = np.log10(own.counts - DISCOUNT)
+    if n == ORDER and len(logs):
+        logs -= np.log10(own.totals[find(own.nodes, own.grams >> np.uint64(8))])
+    logs = logs.astype(np.float32)
+    total, escape = _logs(own.totals, own.kept, own.symbols)
+    if lower is None:
+        return Level(own.grams, logs, own.nodes, total, escape, np.zeros(len(own.nodes), np.float32), np.zeros(len(own.nodes), np.float32))
+    short = find(lower.nodes, own.nodes & np.uint64((1 << 8 * (n - 1)) - 1))
+    same = lower.counts[find(lower.grams, own.grams & np.uint64((1 << 8 * n) - 1))]  # what is kept here is kept below
+    ctx = own.grams >> np.uint64(8)
     first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(ctx) else np.empty(0, np.int64)
-    own = np.add.reduceat(own, first) if len(first) else np.empty(0, np.int64)
-    upper.below, upper.below_kept, upper.below_symbols = lower.totals[short] - own, lower.kept[short] - own, lower.symbols[short] - upper.symbols
+    same = np.add.reduceat(same, first) if len(first) else np.empty(0, np.int64)
+    below = _logs(lower.totals[short] - same, lower.kept[short] - same, lower.symbols[short] - own.symbols)
+    return Level(own.grams, logs, own.nodes, total, escape, *below)
 
 
 class Trie:
-    """log10 probabilities of bytes after their contexts."""
-
-    def __init__(self, orders: list[Order]) -> None:
-        self.orders = orders  # orders[n]: contexts of n bytes
-        top = orders[-1]
-        at = find(top.nodes, top.grams >> np.uint64(8))
-        logs = (np.log10(top.counts - DISCOUNT) - np.log10(top.totals[at])).astype(np.float32) if len(at) else np.empty(0, np.float32)
-        bits = max(4, int(np.ceil(np.log2(max(len(logs), 1) * 2.5))))
+    """log10 probabilities of bytes after their contexts; levels[n]: contexts of n bytes."""
+
+    def __init__(self, levels: list[Level]) -> None:
+        self.levels = levels
+        top = levels[-1]
+        logs = top.logs
+        bits = max(4, int(np.ceil(np.log2(max(len(logs), 1) * 2.0))))
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys = np.full(1 << bits, np.iinfo(np.uint64).max, np.uint64)
         self.logs = np.zeros(1 << bits, np.float32)
@@ -280,41 +310,30 @@ class Trie:
         out = np.zeros(len(grams))
         todo = np.arange(len(grams))
         node = np.full(len(grams), -1)  # of the next longer context, if it is in the trie
-        for n in range(len(self.orders) - 1, -1, -1):
-            o = self.orders[n]
+        for n in range(len(self.levels) - 1, -1, -1):
+            own = self.levels[n]
             g = grams[todo] & np.uint64((1 << 8 * (n + 1)) - 1)
-            here = find(o.nodes, g >> np.uint64(8))
-            known, fresh = here >= 0, node[todo] < 0
-            total = np.where(known, o.totals[here], 0) if len(o.nodes) else np.zeros(len(todo))
-            kept = np.where(known, o.kept[here], 0) if len(o.nodes) else total
-            symbols = np.where(known, o.symbols[here], 0) if len(o.nodes) else total
-            if n + 1 < len(self.orders) and len(self.orders[n + 1].nodes):
-                up = self.orders[n + 1]
-                total, kept, symbols = (np.where(fresh, x, y[node[todo]]) for x, y in ((total, up.below), (kept, up.below_kept), (symbols, up.below_symbols)))
-            at = find(o.grams, g)
+            here, came = find(own.nodes, g >> np.uint64(8)), node[todo]
+            total, escape = np.zeros(len(todo)), np.zeros(len(todo))
+            first = (came < 0) & (here >= 0)
+            total[first], escape[first] = own.total[here[first]], own.escape[here[first]]
+            if n + 1 < len(self.levels):
+                up, after = self.levels[n + 1], came >= 0
+                total[after], escape[after] = up.below_total[came[after]], up.below_escape[came[after]]
+            at = find(own.grams, g)
             hit = at >= 0
-            with np.errstate(divide="ignore", invalid="ignore"):
-                out[todo[hit]] += np.log10(o.counts[at[hit]] - DISCOUNT) - np.log10(total[hit])
-                escape = np.log10((total - kept + DISCOUNT * symbols) / total)
+            out[todo[hit]] += own.logs[at[hit]] - total[hit]
             rest = ~hit
-            out[todo[rest]] += np.where(total[rest] > 0, escape[rest], 0.0)
+            out[todo[rest]] += escape[rest]
             node[todo] = here
             todo = todo[rest]
         if len(todo):
-            out[todo] -= np.log10(max(256 - (int(self.orders[0].symbols[0]) if len(self.orders[0].nodes) else 0), 1))
+            out[todo] -= np.log10(max(256 - len(self.levels[0].grams), 1))
         return out
 
-    def logs_of(self, data: np.ndarray) -> np.ndarray:
-        grams = packed(data, len(self.orders))
-        out, miss = self.look_up(grams)
-        if miss.any():
-            odd, back = np.unique(grams[miss], return_inverse=True)
-            out[miss] = self.escape_down(odd)[back]
-        return out
 
-
-def collect_trie(merged: DataFrame, max_grams: int) -> Trie:
-    """The trie of all counted n-grams. Each part prunes and hands over its orders; at most ``max_grams`` of the highest."""
+def collect_levels(merged: DataFrame, max_grams: int) -> list[Level]:
+    """The levels of a trie of all counted n-grams. Each part prunes and hands over its orders; at most ``max_grams`` of the highest."""
     least = max(MIN_COUNT, least_count(merged, GRAM_KIND, max_grams))
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,9 +363,18 @@ def collect_trie(merged: DataFrame, max_grams: int) -> Trie:
         v = [read(rows, x, np.uint64 if x == "nodes" else np.int64) for x in ("nodes", "totals", "kept", "symbols")]
         at = np.argsort(v[0])
         orders.append(Order(g[by], c[by], *(x[at] for x in v)))
-    for n in range(1, ORDER + 1):
-        link(orders[n], orders[n - 1], n)
-    return Trie(orders)
+    return [level(o, orders[n - 1] if n else None, n) for n, o in enumerate(orders)]
+
+
+_TRIES: dict[str, Trie] = {}
+
+
+def trie_of(name: str, levels) -> Trie:
+    """The trie of broadcast levels; its table is built once in a worker."""
+    if name not in _TRIES:
+        _TRIES.clear()
+        _TRIES[name] = Trie(levels.value)
+    return _TRIES[name]
 
 
 def score(
@@ -380,7 +408,7 @@ def score(
     n_docs = rows.where("train").count()
     n = (stats[WORD_KIND].total if WORD_KIND in stats else 0) + n_docs
     v = (stats[WORD_KIND]["keys"] if WORD_KIND in stats else 0) + (n_docs > 0)
-    trie = spark.sparkContext.broadcast(collect_trie(merged, max_grams))
+    trie, trie_name = spark.sparkContext.broadcast(collect_levels(merged, max_grams)), uuid.uuid4().hex
     head_least = least_count(merged, WORD_KIND, max_words)
     words = merged.where(F.col("kind") == WORD_KIND).select("data")
 
@@ -395,17 +423,17 @@ def score(
         return f
 
     top = words.mapInArrow(split(True), "word long, c long").toArrow()
+    low = np.log10(n + 0.5 * (v + 1)) if n else 0.0
     keys = top.column("word").to_numpy().view(np.uint64) if top.num_rows else np.empty(0, np.uint64)
     by = np.argsort(keys)
-    head = spark.sparkContext.broadcast((keys[by], top.column("c").to_numpy()[by] if top.num_rows else np.empty(0, np.int64)))
-    low = np.log10(n + 0.5 * (v + 1)) if n else 0.0
+    head = spark.sparkContext.broadcast((keys[by], np.log10(top.column("c").to_numpy()[by] + 0.5) - low if top.num_rows else np.empty(0)))
+    del top, keys, by
     end_log = float(np.log10(n_docs + 0.5) - low)
     kind = rows.schema["doc_id"].dataType.simpleString()
     out_schema = f"doc_id {kind}, train boolean, n_tokens long, n_head long, head_score double, score double, rare array<struct<word:long,tf:int>>"
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (known, counts) = trie.value, head.value
-        logs = np.log10(counts + 0.5) - low
+        model, (known, logs) = trie_of(trie_name, trie), head.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -447,7 +475,7 @@ def score(
 
 def _fresh_logs(model: Trie, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """Logs of each byte of several texts in one array, each text as if it stood alone: line ends before its first byte."""
-    n = len(model.orders)
+    n = len(model.levels)
     grams = packed(data, n)
     for k in range(n - 1):  # byte k of a text may look back k bytes only
         at = begins + k

@@ -90,9 +90,7 @@ def test_probabilities_add_up():
     for n in range(ppm.ORDER, -1, -1):
         orders.insert(0, ppm.build_order(grams, counts, 3, n))
         grams, counts = ppm.shorter(grams, counts, max(n, 1))
-    for n in range(1, ppm.ORDER + 1):
-        ppm.link(orders[n], orders[n - 1], n)
-    trie = ppm.Trie(orders)
+    trie = ppm.Trie([ppm.level(o, orders[n - 1] if n else None, n) for n, o in enumerate(orders)])
     for at in rng.integers(0, len(data), 40):
         ctx = int(ppm.packed(data, ppm.ORDER)[at]) if at % 4 else int(rng.integers(0, 2**48))
         every = np.arange(256, dtype=np.uint64) | np.uint64(ctx << 8)
