@@ -50,13 +50,13 @@ def bootstrap_interval(rows: DataFrame, by: Sequence[str], order: str, rounds: i
 
 
 def paired_interval(rows: DataFrame, by: Sequence[str], order: str, rounds: int, seed: str) -> DataFrame:
-    """by, delta, lo, hi, p for two scores (score_a, score_b) of the same rows, drawn alike; p two-sided with one added to both counts."""
+    """by, delta, lo, hi, p for two scores (score_a, score_b) of the same rows, drawn alike; p two-sided with one added to both counts. Null where a side is empty."""
     drawn = resampled(rows.withColumn("__side", F.col("member").cast("string")), [*by, "__side"], order, rounds, seed)
     one = lambda df, keys, s: rank_auc(df.withColumn("score", F.col(s)), keys)
     keys = [*by, "b"]
     both = one(drawn, keys, "score_a").withColumnRenamed("auc", "x").join(one(drawn, keys, "score_b").withColumnRenamed("auc", "y"), keys).withColumn("d", F.col("x") - F.col("y"))
     low, high = (F.count_if(c) + 1 for c in (F.col("d") <= 0, F.col("d") >= 0))
-    return both.groupBy(*by).agg(F.avg("d").alias("delta"), F.percentile("d", 0.025).alias("lo"), F.percentile("d", 0.975).alias("hi"), F.least(2 * F.least(low, high) / (F.count(F.lit(1)) + 1), F.lit(1.0)).alias("p"))
+    return both.groupBy(*by).agg(F.avg("d").alias("delta"), F.percentile("d", 0.025).alias("lo"), F.percentile("d", 0.975).alias("hi"), F.when(F.count("d") > 0, F.least(2 * F.least(low, high) / (F.count("d") + 1), F.lit(1.0))).alias("p"))
 
 
 def cluster_interval(values: DataFrame, order: str, value: str, rounds: int, seed: str) -> DataFrame:

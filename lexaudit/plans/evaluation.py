@@ -120,7 +120,7 @@ def bootstrap_auc_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(S + boot("lang", "lang", "pair") + f""", a AS ({auc_sql('d', 'lang, b')}), c AS ({auc_sql('d', 'lang, b', 'other')}), z AS (SELECT lang, a.auc - c.auc AS d FROM a JOIN c USING (lang, b))
-SELECT lang, round(avg(d), 6) AS delta, round(quantile_cont(d, 0.025), 6) AS lo, round(quantile_cont(d, 0.975), 6) AS hi, round(least(2 * least(count_if(d <= 0) + 1, count_if(d >= 0) + 1) / (count(*) + 1), 1), 6) AS p FROM z GROUP BY lang""")
+SELECT lang, round(avg(d), 6) AS delta, round(quantile_cont(d, 0.025), 6) AS lo, round(quantile_cont(d, 0.975), 6) AS hi, CASE WHEN count(d) > 0 THEN round(least(2 * least(count_if(d <= 0) + 1, count_if(d >= 0) + 1) / (count(d) + 1), 1), 6) END AS p FROM z GROUP BY lang""")
 def paired_delta_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scores(spark, sf_dir).select("doc_id", "lang", "member", F.col("score").alias("score_a"), F.col("other").alias("score_b"))
     return R.paired_interval(rows, ["lang"], "doc_id", ROUNDS, "pair").select("lang", *[F.round(c, 6).alias(c) for c in ("delta", "lo", "hi", "p")])
