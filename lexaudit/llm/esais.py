@@ -16,7 +16,7 @@ import tempfile
 import numpy as np
 
 #: Tuples handled at a time, and tuples that a queue holds in memory before it writes.
-BLOCK, HELD = 1 << 18, 1 << 20
+BLOCK, HELD = 1 << 18, 1 << 21
 #: Arrays of more bytes than this are mapped files.
 IN_MEMORY = 64 << 20
 
@@ -122,13 +122,18 @@ class Prefixes:
     def of(self, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
         a, b = np.minimum(a, b), np.maximum(a, b)
         low, most = np.zeros(len(a), np.int64), np.minimum(self.n - b, limit)
+        whole = self.equal(a, b, most)  # as a rule for many: copies
+        low[whole] = most[whole]
+        rest = np.flatnonzero(~whole)
+        a, b, most, found = a[rest], b[rest], most[rest], low[rest]
         step = 1 << max(int(limit).bit_length() - 1, 0)
         while step:
-            longer = low + step
+            longer = found + step
             ok = longer <= most
             ok[ok] = self.equal(a[ok], b[ok], longer[ok])
-            low[ok] = longer[ok]
+            found[ok] = longer[ok]
             step >>= 1
+        low[rest] = found
         return low
 
 
@@ -161,11 +166,27 @@ def sort_starred(text: np.ndarray, small: np.ndarray, starred: np.ndarray, limit
         offset += 4
         size = np.bincount(name, minlength=kinds)
         open_ = open_[(size[name[open_]] > 1) & (starred[open_] + offset <= ends[open_])]
-    width, gone = 1, 0
-    while kinds < len(starred) and gone < limit:  # names of twice as many substrings
-        after = np.concatenate([name[width:] + 1, np.zeros(min(width, len(name)), np.int64)])[: len(name)]
-        name, kinds = _ranks(name * (len(name) + 2) + after)
-        width, gone = width * 2, width * 2  # a substring has one symbol at least besides the next one's first
+    # names of twice as many substrings, where several suffixes still share one; a name is its first place in the order
+    size = np.bincount(name, minlength=kinds)
+    name = (np.cumsum(size) - size)[name]
+    count, width = len(starred), 1
+    open_ = np.flatnonzero(np.bincount(name, minlength=count)[name] > 1)
+    while len(open_):
+        after = np.zeros(len(open_), np.int64)
+        inside = open_ + width < count
+        after[inside] = name[open_[inside] + width] + 1
+        key = name[open_] * (count + 2) + after
+        by = np.argsort(key, kind="stable")
+        open_, key, old = open_[by], key[by], name[open_[by]]
+        at = np.arange(len(open_))
+        head = np.maximum.accumulate(np.where(np.concatenate([[True], old[1:] != old[:-1]]), at, 0))
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        first = np.maximum.accumulate(np.where(new, at, 0))
+        name[open_] = old + first - head
+        sizes = np.diff(np.append(np.flatnonzero(new), len(open_)))
+        width *= 2
+        end = np.where(open_ + width < count, starred[np.minimum(open_ + width, count - 1)], n + limit)
+        open_ = open_[(np.repeat(sizes, sizes) > 1) & (end - starred[open_] < limit)]
     return starred[np.argsort(name, kind="stable")]
 
 

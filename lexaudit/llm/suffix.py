@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexaudit.llm import esais
-from lexaudit.llm.common import cut
+from lexaudit.llm.common import cut, drop_path, written
 
 LENGTH, GRAM = 400, 16
 #: Bytes of segments in a shard, about.
@@ -130,7 +130,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     4. Ranges go back to the texts by segment, are joined up and cut out.
 
     Null or empty texts and texts shorter than ``length`` lose nothing. Rows that repeat, or ids that are null or repeat, are
-    rows of their own: their texts are copies of each other. Equal texts are told by 128-bit hash. Other columns are not read.
+    rows of their own: their texts are copies of each other. Equal texts are told by 128-bit
+    hash, equal segments of a fingerprint by 63 further bits. Other columns are not read.
     """
     kind = docs.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
@@ -150,15 +151,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                     lasts.append(b)
                     times.append(t)
                     hs += [h] * len(k)
-                    segs += [xxhash.xxh3_128_digest(text[i : j + length]) for i, j in zip(a.tolist(), b.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(hs, pa.binary()), pa.array(np.concatenate(firsts).astype(np.int32)), pa.array(np.concatenate(lasts).astype(np.int32)), pa.array(np.concatenate(times).astype(np.int32)), pa.array(segs, pa.binary())], names=names)
+                    segs += [xxhash.xxh3_64_intdigest(text[i : j + length]) >> 1 for i, j in zip(a.tolist(), b.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(hs, pa.binary()), pa.array(np.concatenate(firsts).astype(np.int32)), pa.array(np.concatenate(lasts).astype(np.int32)), pa.array(np.concatenate(times).astype(np.int32)), pa.array(segs, pa.int64())], names=names)
 
-    found = hashed.mapInArrow(cut_up, "key long, h binary, first int, last int, times int, seg binary")
+    found, place = written(hashed.mapInArrow(cut_up, "key long, h binary, first int, last int, times int, seg long"))
     # equal segments are counted before the shuffle; what is left of a fingerprint that came once ends here
     tallied = found.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("n"), F.sum("times").alias("times"))
     # a class has to be sorted if its fingerprint has another, or if it is there once but holds its fingerprint twice
     again = tallied.groupBy("key").agg(F.sum("times").alias("times"), ((F.count(F.lit(1)) > 1) | (F.sum("n") == 1)).alias("sort")).where("times > 1").select("key", "sort")
     several = cut(found.join(again, "key"))
+    drop_path(docs.sparkSession, place)
     copies = several.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("n"), F.bool_or("sort").alias("sort"), F.min(F.struct("h", "first", "last")).alias("at"))
     classes = cut(copies.select("key", "seg", "n", "sort", "at.h", "at.first", "at.last"))
     open_ = classes.where("sort")
@@ -170,10 +172,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             for at in range(0, batch.num_rows, 50):
                 part = batch.slice(at, 50)
                 rows = [(w["key"], w["seg"], w["n"], _bytes(x)[w["first"] : w["last"] + length]) for x, wanted in zip(part.column(0), part.column(1)) for w in wanted.as_py()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.binary()))], names=["key", "seg", "n", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["key", "seg", "n", "data"])
 
     wanted = open_.groupBy("h").agg(F.collect_list(F.struct("key", "seg", "n", "first", "last")).alias("wanted"))
-    data = hashed.join(wanted, "h").select("text", "wanted").mapInArrow(fetch, "key long, seg binary, n long, data binary").dropDuplicates(["key", "seg"])
+    data = hashed.join(wanted, "h").select("text", "wanted").mapInArrow(fetch, "key long, seg long, n long, data binary").dropDuplicates(["key", "seg"])
     dealt = data.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
 
     def order(table: pa.Table) -> pa.Table:
@@ -181,7 +183,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         runs = repeated_starts(parts, table.column("n").to_numpy(), length)
         return pa.table({"key": table.column("key"), "seg": table.column("seg"), "runs": pa.array([[{"a": int(a), "b": int(b)} for a, b in r] for r in runs], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))})
 
-    runs = dealt.groupBy("shard").applyInArrow(order, "key long, seg binary, runs array<struct<a:int,b:int>>")
+    runs = dealt.groupBy("shard").applyInArrow(order, "key long, seg long, runs array<struct<a:int,b:int>>")
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("last") - F.col("first")).alias("b")))
     partly = several.where("sort").join(cut(runs.where(F.size("runs") > 0)), ["key", "seg"]).select("h", "first", "runs")
     ranges = partly.unionByName(several.where("not sort").select("h", "first", whole.alias("runs")))
