@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexaudit.functions.text import shifted_name
 from lexaudit.operators import evaluate as E
 from lexaudit.operators import membership as M
+from lexaudit.operators import reports
 from lexaudit.operators import resampling as R
 from lexaudit.plans.inputs import scores
 from lexaudit.sources import records
@@ -223,3 +224,54 @@ def report_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = cells.groupBy("source").pivot("lang", ["en", "fr"]).agg(F.max("auc"))
     means = cells.groupBy("source").agg(F.avg("auc").alias("mean"))
     return wide.join(means, "source").select("source", *[F.round(c, 6).alias(c) for c in ("en", "fr", "mean")])
+
+
+@query("""WITH j AS (SELECT r_name, n_name, size FROM nation JOIN region ON n_regionkey = r_regionkey, (SELECT unnest([1, 7, 13, 32]) AS size) WHERE NOT (r_name = 'ASIA' AND size = 32))
+SELECT * FROM j WHERE NOT EXISTS (SELECT 1 FROM nation n WHERE n.n_name = j.n_name AND n.n_nationkey % 3 = 0 AND j.size = 7)""")
+def job_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves by sizes under a rule, less those already done."""
+    nation, region = read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "region")
+    leaves = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name")
+    sizes = spark.createDataFrame([(k,) for k in (1, 7, 13, 32)], "size int")
+    jobs = reports.job_matrix(leaves, sizes, ~((F.col("r_name") == "ASIA") & (F.col("size") == 32)))
+    done = nation.where("n_nationkey % 3 = 0").select("n_name", F.lit(7).alias("size"))
+    return records.missing_jobs(jobs, done, ["n_name", "size"]).select("r_name", "n_name", "size")
+
+
+@query(S + f", a AS ({auc_sql('s', 'source, lang')}), m AS (SELECT source, avg(auc) AS mean, count(auc) AS present FROM a GROUP BY source) SELECT source, round(mean, 6) AS mean, present, mean = (SELECT max(mean) FROM m) AS best FROM m")
+def method_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = ["source", "lang"]
+    out = reports.averages(E.auc(E.tally(scores(spark, sf_dir), by), by), ["source"], "lang", "auc")
+    return out.select("source", F.round("mean", 6).alias("mean"), "present", "best")
+
+
+@query(S + "SELECT doc_id, CASE WHEN doc_id % 7 > 0 THEN score - other END AS gain FROM s")
+def tuned_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scores(spark, sf_dir)
+    base = rows.select("doc_id", F.when(F.col("doc_id") % 7 == 0, float("nan")).otherwise(F.col("other")).alias("x"))
+    return reports.gain(base, rows.select("doc_id", F.col("score").alias("x")), ["doc_id"], "x")
+
+
+@query("SELECT event_id, round(exp(-1.0) * (event_id % 2) + exp(-2.0), 6) AS p_yes FROM events")
+def judge_yes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pair = lambda token, lp: F.struct(token.alias("token"), F.lit(lp).alias("logprob"))
+    top = F.array(pair(F.when(F.col("event_id") % 2 == 1, " Yes").otherwise("no"), -1.0), pair(F.lit("YES "), -2.0), pair(F.lit("maybe"), -3.0))
+    return read_table(spark, sf_dir, "events").select("event_id", F.round(reports.yes_probability(top), 6).alias("p_yes"))
+
+
+@query(S + f", g AS (SELECT lang, k, member, score % k AS score FROM s, (SELECT unnest([7, 50, 400]) AS k)), a AS ({auc_sql('g', 'lang, k')}), c AS (SELECT lang, k, auc FROM a WHERE auc IS NOT NULL), b AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY auc DESC, k) AS n FROM c) SELECT b.lang, round(b.auc - c.auc, 6) + 0.0 AS cost FROM b JOIN c ON b.lang = c.lang WHERE n = 1 AND c.k = (SELECT k FROM b WHERE lang = 'en' AND n = 1)")
+def reuse_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each language loses by the setting that is best for English."""
+    grid = scores(spark, sf_dir).withColumn("k", F.explode(F.array(*map(F.lit, (7, 50, 400))))).withColumn("score", F.col("score") % F.col("k"))
+    cells = E.auc(E.tally(grid, ["lang", "k"]), ["lang", "k"]).where("auc is not null")
+    return reports.reuse_cost(cells, "lang", "k", "auc", "en").select("lang", (F.round("cost", 6) + F.lit(0.0)).alias("cost"))
+
+
+HALF = DRAW.format("'half:' || doc_id") + " % 2"
+
+
+@query(S + f", r AS (SELECT ({HALF})::VARCHAR AS held_out, member, score FROM s)" + BEST + f"SELECT (1 - held_out::INT)::VARCHAR AS judged, threshold, round(avg(((s.score >= threshold) = member)::INT), 9) AS accuracy FROM b JOIN s ON ({HALF}) = 1 - held_out::INT GROUP BY ALL")
+def two_fold_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Halves by a hash; each is judged by the other's best threshold."""
+    rows = scores(spark, sf_dir).withColumn("half", F.pmod(R.draw(F.lit("half"), F.col("doc_id")), F.lit(2)).cast("string"))
+    return E.leave_one_out_accuracy(rows, "half").select(F.col("held_out").alias("judged"), "threshold", F.round("accuracy", 9).alias("accuracy"))
