@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexaudit.llm.common import cut
+from lexaudit.llm.common import cut, written
 
 ORDER = 6
 #: Most n-grams of the highest order in the model; of more, those that occur most often stay. Bounds the broadcast.
@@ -332,38 +332,57 @@ class Trie:
         return out
 
 
+#: Kinds of the arrays of a level and of an order.
+LEVEL_KINDS = ("<u8", "<f4", "<u8", "<f4", "<f4", "<f4", "<f4")
+ORDER_KINDS = ("<u8", "<i8", "<u8", "<i8", "<i8", "<i8")
+
+
 def collect_levels(merged: DataFrame, max_grams: int) -> list[Level]:
-    """The levels of a trie of all counted n-grams. Each part prunes and hands over its orders; at most ``max_grams`` of the highest."""
+    """The levels of a trie of all counted n-grams; at most ``max_grams`` of the highest order, which bounds the others.
+
+    A part holds all of its contexts of DEAL_BYTES bytes and more, so it makes their levels itself; only the counts of
+    contexts of DEAL_BYTES bytes meet in the driver, for the shorter ones.
+    """
     least = max(MIN_COUNT, least_count(merged, GRAM_KIND, max_grams))
+    names = ["n", *(f"c{k}" for k in range(7))]
+
+    def row(n: int, arrays, kinds) -> pa.RecordBatch:
+        data = [np.ascontiguousarray(x, kind).tobytes() for x, kind in zip(arrays, kinds)]
+        return pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *(pa.array([d], pa.binary()) for d in [*data, *[b""] * (7 - len(data))])], names=names)
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column(0):
                 grams, counts = unsqueeze(x.as_py())
+                upper = None
                 for n in range(ORDER, DEAL_BYTES - 1, -1):
                     if n < ORDER:
                         grams, counts = shorter(grams, counts, n + 1)
-                    o = build_order(grams, counts, least, n)
-                    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *(pa.array([y.astype("<u8").tobytes()], pa.binary()) for y in (o.grams, o.counts, o.nodes, o.totals, o.kept, o.symbols))], names=["n", "grams", "counts", "nodes", "totals", "kept", "symbols"])
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([grams.astype("<u8").tobytes()], pa.binary()), pa.array([counts.astype("<u8").tobytes()], pa.binary()), *[pa.array([b""], pa.binary())] * 4], names=["n", "grams", "counts", "nodes", "totals", "kept", "symbols"])
-
-    schema = "n int, grams binary, counts binary, nodes binary, totals binary, kept binary, symbols binary"
-    got = merged.where(F.col("kind") == GRAM_KIND).select("data").mapInArrow(prune, schema).toArrow()
-    orders: list[Order] = []
-    read = lambda rows, name, kind: np.concatenate([np.empty(0, kind), *(np.frombuffer(x.as_buffer(), "<u8").astype(kind) for x in rows.column(name))])
-    whole = got.filter(pc.equal(got.column("n"), -1))
-    grams, counts = counted(read(whole, "grams", np.uint64), read(whole, "counts", np.int64))
-    for n in range(DEAL_BYTES - 1, -1, -1):  # the short contexts, from all n-grams of the shortest dealt order
+                    own = build_order(grams, counts, least, n)
+                    if upper is not None:
+                        v = level(upper, own, n + 1)
+                        yield row(n + 1, (v.grams, v.logs, v.nodes, v.total, v.escape, v.below_total, v.below_escape), LEVEL_KINDS)
+                    upper = own
+                yield row(DEAL_BYTES, (own.grams, own.counts, own.nodes, own.totals, own.kept, own.symbols), ORDER_KINDS)
+                yield row(-1, (grams, counts), ORDER_KINDS)
+
+    got = merged.where(F.col("kind") == GRAM_KIND).select("data").mapInArrow(prune, "n int, " + ", ".join(f"c{k} binary" for k in range(7))).toArrow()
+
+    def read(n: int, kinds) -> list[np.ndarray]:
+        rows = got.filter(pc.equal(got.column("n"), n))
+        return [np.concatenate([np.empty(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in rows.column(f"c{k}"))]) for k, kind in enumerate(kinds)]
+
+    def sorted_(v: list[np.ndarray]) -> list[np.ndarray]:
+        by, at = np.argsort(v[0]), np.argsort(v[2])
+        return [v[0][by], v[1][by], *(x[at] for x in v[2:])]
+
+    grams, counts = counted(*read(-1, ORDER_KINDS[:2]))
+    orders = [Order(*sorted_(read(DEAL_BYTES, ORDER_KINDS)))]
+    for n in range(DEAL_BYTES - 1, -1, -1):
         grams, counts = shorter(grams, counts, n + 1)
         orders.insert(0, build_order(grams, counts, least, n))
-    for n in range(DEAL_BYTES, ORDER + 1):
-        rows = got.filter(pc.equal(got.column("n"), n))
-        g, c = (read(rows, "grams", np.uint64), read(rows, "counts", np.int64))
-        by = np.argsort(g)
-        v = [read(rows, x, np.uint64 if x == "nodes" else np.int64) for x in ("nodes", "totals", "kept", "symbols")]
-        at = np.argsort(v[0])
-        orders.append(Order(g[by], c[by], *(x[at] for x in v)))
-    return [level(o, orders[n - 1] if n else None, n) for n, o in enumerate(orders)]
+    levels = [level(o, orders[n - 1] if n else None, n) for n, o in enumerate(orders)]
+    return levels + [Level(*sorted_(read(n, LEVEL_KINDS))) for n in range(DEAL_BYTES + 1, ORDER + 1)]
 
 
 _TRIES: dict[str, Trie] = {}
@@ -459,7 +478,7 @@ def score(
                 rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rares])]), pa.int32()), pa.StructArray.from_arrays([pa.array([w for x in rares for w, _ in x], pa.int64()), pa.array([t for x in rares for _, t in x], pa.int32())], names=["word", "tf"]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(tokens, pa.int64()), pa.array(heads, pa.int64()), pa.array(bases, pa.float64()), pa.array(scores, pa.float64()), rare], names=["doc_id", "train", "n_tokens", "n_head", "head_score", "score", "rare"])
 
-    scored = cut(rows.select("doc_id", "text", "train").mapInArrow(measure, out_schema).withColumn("__row", F.monotonically_increasing_id()))
+    scored, _ = written(rows.select("doc_id", "text", "train").mapInArrow(measure, out_schema).withColumn("__row", F.monotonically_increasing_id()))
     tail = scored.select("__row", F.explode("rare").alias("r")).select("__row", "r.word", "r.tf")
     counts = words.mapInArrow(split(False), "word long, c long")
     tail = tail.join(counts, "word", "left").groupBy("__row").agg(
