@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from lexaudit.functions import arrays as A
 from lexaudit.functions import vectorised as V
+from lexaudit.functions.text import words
 from lexaudit.operators import resampling as R
 from lexaudit.operators import scoring, signals
 from lexaudit.plans.corpus import TOKENS
 from lexaudit.plans.inputs import lowered, tokens, unigram_stats
 from lexaudit.sources.tables import read_table
+from lexaudit.storage import settle
 
 QUERIES = {}
 ORACLES = {}
@@ -145,8 +147,6 @@ def levenshtein_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def token_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token edit distance and ROUGE-L F1 between a user's words and the answer that follows."""
-    from lexaudit.functions.text import words
-
     c = read_table(spark, sf_dir, "conversations")
     ask = c.where("role = 'user'").select("conv_id", "turn", words(F.col("text")).alias("a"))
     say = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), words(F.col("text")).alias("b"))
@@ -211,7 +211,7 @@ def camia_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def camia_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = signals.signals(unigram_stats(spark, sf_dir))
+    s = settle(signals.signals(unigram_stats(spark, sf_dir)))  # else every signal is computed again for each row of the long form
     rows = signals.long_form(s).join(read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("member")), "id")
     p = signals.p_values(rows.select("id", "signal", "value"), rows.where("not member").select("signal", "value"), signals.directions(rows))
     return signals.combine(p)
