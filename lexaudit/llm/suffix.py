@@ -168,14 +168,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     shards = int(size // shard_bytes) + 1
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = None
         for batch in batches:
             for at in range(0, batch.num_rows, 50):
                 part = batch.slice(at, 50)
-                rows = [(w["key"], w["seg"], w["n"], _bytes(x)[w["first"] : w["last"] + length]) for x, wanted in zip(part.column(0), part.column(1)) for w in wanted.as_py()]
+                rows: list[tuple] = []
+                for x, wanted, h in zip(part.column(0), part.column(1), part.column(2).to_pylist()):
+                    if h != done:  # copies of a text mostly follow each other; one of them is enough
+                        text = _bytes(x)
+                        rows += [(w["key"], w["seg"], w["n"], text[w["first"] : w["last"] + length]) for w in wanted.as_py()]
+                        done = h
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["key", "seg", "n", "data"])
 
     wanted = open_.groupBy("h").agg(F.collect_list(F.struct("key", "seg", "n", "first", "last")).alias("wanted"))
-    data = hashed.join(wanted, "h").select("text", "wanted").mapInArrow(fetch, "key long, seg long, n long, data binary").dropDuplicates(["key", "seg"])
+    data = hashed.join(wanted, "h").select("text", "wanted", "h").mapInArrow(fetch, "key long, seg long, n long, data binary").dropDuplicates(["key", "seg"])
     dealt = data.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
 
     def order(table: pa.Table) -> pa.Table:
