@@ -103,6 +103,17 @@ class WordEncoder:
         return self.ids[pos], np.diff(doc_ends, prepend=0)
 
 
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
+
+
+def encoder_of(path: str, end_id: int) -> WordEncoder:
+    """This worker's encoder, which keeps its cache from task to task."""
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, end_id] = WordEncoder(path, end_id)
+    return _ENCODERS[path, end_id]
+
+
 def decompose(n: int, longest: int) -> list[int]:
     """Lengths of the pieces of ``n`` tokens: the longest power of two as often as it fits, then the binary digits of the rest."""
     rest = n % longest
@@ -135,7 +146,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     kind = docs.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType.simpleString()
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path, end_id)
+        encoder = encoder_of(tokenizer_path, end_id)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for part in _slices(texts, BATCH_CHARS):
