@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -232,6 +233,17 @@ class Labeller:
         ]
 
 
+_LABELLERS: dict[str, Labeller] = {}
+
+
+def labeller_of(name: str, model, penalty: float) -> Labeller:
+    """This worker's labeller of a broadcast model, which keeps its cache from task to task."""
+    if name not in _LABELLERS:
+        _LABELLERS.clear()
+        _LABELLERS[name] = Labeller(model.value, penalty)
+    return _LABELLERS[name]
+
+
 def sample_of(docs: DataFrame, train: Column, id_col: str, text_col: str, lang_col: str, sample_docs: int) -> list[tuple[str, str]]:
     """About ``sample_docs`` labelled texts of each language: those whose id hashes below the share that gives so many."""
     rows = docs.where(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
@@ -267,12 +279,12 @@ def identify(
     docs = docs.drop(*[c for c in docs.columns if c.lower() in {"lang_pred", "score", "spans"}])
     spark = docs.sparkSession
     sample = sample_of(docs, F.lit(True) if train is None else train, id_col, text_col, lang_col, sample_docs)
-    model = spark.sparkContext.broadcast(fit(sample))
+    model, name = spark.sparkContext.broadcast(fit(sample)), uuid.uuid4().hex
     at = docs.columns.index(text_col)
     kept = docs.schema.names
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(model.value, penalty)
+        labeller = labeller_of(name, model, penalty)
         for batch in batches:
             texts = batch.column(at).to_pylist()
             begin = size = 0
