@@ -7,7 +7,6 @@ looking up are sorts and hash probes of arrays.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,14 +15,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexaudit.llm.common import cut, written
+from lexaudit.llm.common import cut, drop_path, written
 
 ORDER = 6
-#: Most n-grams of the highest order in the model; of more, those that occur most often stay. Bounds the broadcast.
-MAX_GRAMS = 3 << 19
 #: Most words whose counts are broadcast; the counts of others come by a join.
 MAX_WORDS = 1 << 20
 DISCOUNT = 0.5
@@ -259,22 +257,19 @@ def level(own: Order, lower: Order | None, n: int) -> Level:
     return Level(own.grams, logs, own.nodes, total, escape, *below)
 
 
-class Trie:
-    """log10 probabilities of bytes after their contexts; levels[n]: contexts of n bytes."""
+class Logs:
+    """A log for each of some n-grams, in a hash table."""
 
-    def __init__(self, levels: list[Level]) -> None:
-        self.levels = levels
-        top = levels[-1]
-        logs = top.logs
+    def __init__(self, grams: np.ndarray, logs: np.ndarray) -> None:
         bits = max(4, int(np.ceil(np.log2(max(len(logs), 1) * 2.0))))
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys = np.full(1 << bits, np.iinfo(np.uint64).max, np.uint64)
         self.logs = np.zeros(1 << bits, np.float32)
-        slot, todo = self._slot(top.grams), np.arange(len(logs))
+        slot, todo = self._slot(grams), np.arange(len(logs))
         while len(todo):  # of those at a free slot one gets it, the others go on
             free = self.keys[slot[todo]] == np.iinfo(np.uint64).max
-            self.keys[slot[todo[free]]] = top.grams[todo[free]]
-            done = self.keys[slot[todo]] == top.grams[todo]
+            self.keys[slot[todo[free]]] = grams[todo[free]]
+            done = self.keys[slot[todo]] == grams[todo]
             self.logs[slot[todo[done]]] = logs[todo[done]]
             todo = todo[~done]
             slot[todo] = (slot[todo] + 1) & self.mask
@@ -283,7 +278,7 @@ class Trie:
         return ((grams * _MULT) >> self.shift).astype(np.int64)
 
     def look_up(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Logs of the n-grams of the highest order, and which are not in the trie."""
+        """Logs of n-grams, and which are not in the table."""
         slot = self._slot(grams)
         got = self.keys[slot]
         out = self.logs[slot].astype(np.float64)
@@ -305,6 +300,21 @@ class Trie:
             todo, slot = todo[on], slot[on]
         return out, miss
 
+
+class Trie(Logs):
+    """log10 probabilities of bytes after their contexts; levels[n]: contexts of n bytes, the highest order's n-grams hashed."""
+
+    def __init__(self, levels: list[Level]) -> None:
+        self.levels = levels
+        super().__init__(levels[-1].grams, levels[-1].logs)
+
+    def log_probabilities(self, grams: np.ndarray) -> np.ndarray:
+        """log10 probability of each n-gram's last byte after its context."""
+        out, miss = self.look_up(grams)
+        if miss.any():
+            out[miss] = self.escape_down(grams[miss])
+        return out
+
     def escape_down(self, grams: np.ndarray) -> np.ndarray:
         """log10 probability of each n-gram's last byte after its context, by way of escapes."""
         out = np.zeros(len(grams))
@@ -332,68 +342,104 @@ class Trie:
         return out
 
 
-#: Kinds of the arrays of a level and of an order.
-LEVEL_KINDS = ("<u8", "<f4", "<u8", "<f4", "<f4", "<f4", "<f4")
-ORDER_KINDS = ("<u8", "<i8", "<u8", "<i8", "<i8", "<i8")
-
-
-def collect_levels(merged: DataFrame, max_grams: int) -> list[Level]:
-    """The levels of a trie of all counted n-grams; at most ``max_grams`` of the highest order, which bounds the others.
-
-    A part holds all of its contexts of DEAL_BYTES bytes and more, so it makes their levels itself; only the counts of
-    contexts of DEAL_BYTES bytes meet in the driver, for the shorter ones.
-    """
-    least = max(MIN_COUNT, least_count(merged, GRAM_KIND, max_grams))
-    names = ["n", *(f"c{k}" for k in range(7))]
-
-    def row(n: int, arrays, kinds) -> pa.RecordBatch:
-        data = [np.ascontiguousarray(x, kind).tobytes() for x, kind in zip(arrays, kinds)]
-        return pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *(pa.array([d], pa.binary()) for d in [*data, *[b""] * (7 - len(data))])], names=names)
+def low_orders(merged: DataFrame, least: int) -> list[Order]:
+    """The orders of contexts shorter than DEAL_BYTES, whose counts meet in the driver: at most 256 ** DEAL_BYTES of them, whatever the input."""
 
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column(0):
-                grams, counts = unsqueeze(x.as_py())
-                upper = None
-                for n in range(ORDER, DEAL_BYTES - 1, -1):
-                    if n < ORDER:
-                        grams, counts = shorter(grams, counts, n + 1)
-                    own = build_order(grams, counts, least, n)
-                    if upper is not None:
-                        v = level(upper, own, n + 1)
-                        yield row(n + 1, (v.grams, v.logs, v.nodes, v.total, v.escape, v.below_total, v.below_escape), LEVEL_KINDS)
-                    upper = own
-                yield row(DEAL_BYTES, (own.grams, own.counts, own.nodes, own.totals, own.kept, own.symbols), ORDER_KINDS)
-                yield row(-1, (grams, counts), ORDER_KINDS)
-
-    got = merged.where(F.col("kind") == GRAM_KIND).select("data").mapInArrow(prune, "n int, " + ", ".join(f"c{k} binary" for k in range(7))).toArrow()
-
-    def read(n: int, kinds) -> list[np.ndarray]:
-        rows = got.filter(pc.equal(got.column("n"), n))
-        return [np.concatenate([np.empty(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in rows.column(f"c{k}"))]) for k, kind in enumerate(kinds)]
-
-    def sorted_(v: list[np.ndarray]) -> list[np.ndarray]:
-        by, at = np.argsort(v[0]), np.argsort(v[2])
-        return [v[0][by], v[1][by], *(x[at] for x in v[2:])]
-
-    grams, counts = counted(*read(-1, ORDER_KINDS[:2]))
-    orders = [Order(*sorted_(read(DEAL_BYTES, ORDER_KINDS)))]
-    for n in range(DEAL_BYTES - 1, -1, -1):
+                yield pa.RecordBatch.from_arrays([pa.array([squeeze(*shorter(*unsqueeze(x.as_py()), DEAL_BYTES))], pa.binary())], names=["data"])
+
+    got = [unsqueeze(r.data) for r in merged.where(F.col("kind") == GRAM_KIND).select("data").mapInArrow(shorten, "data binary").collect()]
+    grams, counts = counted(*(np.concatenate([np.empty(0, kind), *x]) for kind, x in zip((np.uint64, np.int64), zip(*got) if got else ((), ()))))
+    orders = [build_order(grams, counts, least, DEAL_BYTES - 1)]
+    for n in range(DEAL_BYTES - 2, -1, -1):
         grams, counts = shorter(grams, counts, n + 1)
         orders.insert(0, build_order(grams, counts, least, n))
-    levels = [level(o, orders[n - 1] if n else None, n) for n, o in enumerate(orders)]
-    return levels + [Level(*sorted_(read(n, LEVEL_KINDS))) for n in range(DEAL_BYTES + 1, ORDER + 1)]
+    return orders
 
 
-_TRIES: dict[str, Trie] = {}
+def part_trie(grams: np.ndarray, counts: np.ndarray, least: int, low: list[Order]) -> Trie:
+    """The trie of one part: all of its contexts of DEAL_BYTES bytes and more, over the shorter ones of ``low``."""
+    orders = []
+    for n in range(ORDER, DEAL_BYTES - 1, -1):
+        if n < ORDER:
+            grams, counts = shorter(grams, counts, n + 1)
+        orders.insert(0, build_order(grams, counts, least, n))
+    orders = [*low, *orders]
+    return Trie([level(o, orders[n - 1] if n else None, n) for n, o in enumerate(orders)])
+
 
+def _slices(rows: pa.Table | pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[tuple[bytes, list[bytes]]], np.ndarray, np.ndarray]]:
+    """256 rows at a time: rows, normal texts (of the last column), the n-grams of all their bytes and where each text begins."""
+    for batch in rows.to_batches() if isinstance(rows, pa.Table) else [rows]:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            normal = [normal_bytes(x.as_py() or b"") for x in part.column(part.num_columns - 1).cast(pa.binary())]
+            begins = np.cumsum([0, *(len(d) for d, _ in normal[:-1])])
+            yield part, normal, fresh_grams(np.frombuffer(b"".join(d for d, _ in normal), np.uint8), begins), begins
 
-def trie_of(name: str, levels) -> Trie:
-    """The trie of broadcast levels; its table is built once in a worker."""
-    if name not in _TRIES:
-        _TRIES.clear()
-        _TRIES[name] = Trie(levels.value)
-    return _TRIES[name]
+
+#: Part of the rows of a chunk, beside those of its n-grams.
+ROWS = -1
+
+
+def ask(rows: DataFrame, parts: int, chunk_bytes: int) -> DataFrame:
+    """chunk, part, data: rows of ``rows`` (its last column a text) by chunks of about ``chunk_bytes``, under the part ROWS, and the distinct n-grams of each chunk by the part whose trie knows them."""
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, size = [], 0
+        for batch in batches:
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            begin, before = 0, 0
+            while begin < batch.num_rows:
+                end = min(int(np.searchsorted(sizes, before + chunk_bytes - size)) + 1, batch.num_rows)
+                held.append(batch.slice(begin, end - begin))
+                size += int(sizes[end - 1]) - before
+                begin, before = end, int(sizes[end - 1])
+                if size >= chunk_bytes:
+                    yield pa.Table.from_batches(held)
+                    held, size = [], 0
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for k, table in enumerate(chunks(batches)):
+            grams = counted(np.concatenate([counted(g)[0] for _, _, g, _ in _slices(table)]))[0]
+            where = gram_part(grams, parts)
+            order = np.argsort(where, kind="stable")
+            grams, ends = grams[order], np.searchsorted(where[order], np.arange(parts + 1))
+            got = [(p, squeeze(grams[a:b], np.ones(b - a, np.int64))) for p, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(table)
+            got.append((ROWS, sink.getvalue().to_pybytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([f"{task}:{k}"] * len(got)), pa.array([p for p, _ in got], pa.int32()), pa.array([d for _, d in got], pa.binary())], names=["chunk", "part", "data"])
+
+    return rows.mapInArrow(f, "chunk string, part int, data binary")
+
+
+def answer(merged: DataFrame, asked: DataFrame, parts: int, least: int) -> DataFrame:
+    """chunk, part, data, logs: the n-grams asked for and their log10 probabilities. A task holds the trie of one part at a time."""
+    low = merged.sparkSession.sparkContext.broadcast(low_orders(merged, least))
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, trie = None, None
+        for batch in batches:
+            for p, chunk, data in zip(*(c.to_pylist() for c in (batch.column(0), batch.column(1))), batch.column(2)):
+                if chunk is None or p != part:
+                    part, trie = p, None
+                    trie = part_trie(*(unsqueeze(data.as_py()) if chunk is None else (np.empty(0, np.uint64), np.empty(0, np.int64))), least, low.value)
+                if chunk is not None:
+                    logs = trie.log_probabilities(unsqueeze(data.as_py())[0]).astype("<f4")
+                    logs = zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(logs.view(np.uint8).reshape(-1, 4).T).tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([p], pa.int32()), pa.array([data.as_py()], pa.binary()), pa.array([logs], pa.binary())], names=["chunk", "part", "data", "logs"])
+
+    model = merged.where(F.col("kind") == GRAM_KIND).select("part", F.lit(None).cast("string").alias("chunk"), "data")
+    both = model.unionByName(asked.where(F.col("part") != ROWS))
+    # the null chunk, the part's counts, comes first
+    return both.repartitionById(parts, "part").sortWithinPartitions("part", F.col("chunk").asc_nulls_first()).mapInArrow(f, "chunk string, part int, data binary, logs binary")
 
 
 def score(
@@ -401,15 +447,17 @@ def score(
     train: Column,
     id_col: str = "doc_id",
     text_col: str = "text",
-    max_grams: int = MAX_GRAMS,
+    max_grams: int | None = None,
     max_words: int = MAX_WORDS,
     parts: int | None = None,
 ) -> DataFrame:
     """id_col, n_tokens, n_known, train_tokens, base_score, score: code lengths of whole texts under a trie of the training rows.
 
     ``train`` chooses rows of ``docs``; all of their text is counted, in compressed blocks of sorted n-grams that are
-    merged part by part. The trie's highest order is pruned to ``max_grams`` (shorter contexts at the same count), which
-    bounds what is broadcast; a pruned symbol's mass goes to its context's escape. A byte's probability: the longest
+    merged part by part and stay on disk. Texts are scored by chunks: the distinct n-grams of a chunk go to the parts that
+    know them and come back with their logs, so no task holds more than one part's trie or one chunk's logs. Only the
+    caller's ``max_grams``, if any, prunes the highest order (shorter contexts at the same count); the mass of a pruned
+    symbol, or of one seen less than MIN_COUNT times, goes to its context's escape. A byte's probability: the longest
     context in the trie in which the byte was seen, (c - 1/2) / total; before it each longer context's escape, in whose
     shorter context its symbols no longer count; in the end all bytes alike. They add up to 1 after every context.
 
@@ -427,7 +475,7 @@ def score(
     n_docs = rows.where("train").count()
     n = (stats[WORD_KIND].total if WORD_KIND in stats else 0) + n_docs
     v = (stats[WORD_KIND]["keys"] if WORD_KIND in stats else 0) + (n_docs > 0)
-    trie, trie_name = spark.sparkContext.broadcast(collect_levels(merged, max_grams)), uuid.uuid4().hex
+    least = MIN_COUNT if max_grams is None else max(MIN_COUNT, least_count(merged, GRAM_KIND, max_grams))
     head_least = least_count(merged, WORD_KIND, max_words)
     words = merged.where(F.col("kind") == WORD_KIND).select("data")
 
@@ -451,34 +499,38 @@ def score(
     kind = rows.schema["doc_id"].dataType.simpleString()
     out_schema = f"doc_id {kind}, train boolean, n_tokens long, n_head long, head_score double, score double, rare array<struct<word:long,tf:int>>"
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (known, logs) = trie_of(trie_name, trie), head.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                tokens, heads, bases, scores, rares = [], [], [], [], []
-                texts = [x.as_py() or b"" for x in part.column(1).cast(pa.binary())]
-                normal = [normal_bytes(x) for x in texts]
-                # all texts at once: each begins after a line end, as every text does
-                ends = np.cumsum([len(d) for d, _ in normal])
-                data = np.frombuffer(b"".join(d for d, _ in normal), np.uint8)
-                begins = np.concatenate([[0], ends[:-1]])
-                sums = np.zeros(len(texts))
-                sums += np.add.reduceat(_fresh_logs(model, data, begins), begins)
-                for i, (_, ws) in enumerate(normal):
-                    h = np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
-                    place = find(known, h)
-                    hit = place >= 0
-                    odd, tf = counted(h[~hit])
-                    tokens.append(len(ws) + 1)
-                    heads.append(int(hit.sum()) + (n_docs > 0))
-                    bases.append(float(logs[place[hit]].sum()) + end_log)
-                    scores.append(float(sums[i]))
-                    rares.append(list(zip(odd.view(np.int64).tolist(), tf.tolist())))
-                rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rares])]), pa.int32()), pa.StructArray.from_arrays([pa.array([w for x in rares for w, _ in x], pa.int64()), pa.array([t for x in rares for _, t in x], pa.int32())], names=["word", "tf"]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(tokens, pa.int64()), pa.array(heads, pa.int64()), pa.array(bases, pa.float64()), pa.array(scores, pa.float64()), rare], names=["doc_id", "train", "n_tokens", "n_head", "head_score", "score", "rare"])
-
-    scored, _ = written(rows.select("doc_id", "text", "train").mapInArrow(measure, out_schema).withColumn("__row", F.monotonically_increasing_id()))
+    def measure(table: pa.Table) -> pa.Table:
+        known, logs = head.value
+        kinds, data = table.column("part").to_pylist(), table.column("data")
+        grams, own = [], []
+        for p, d, x in zip(kinds, data, table.column("logs")):
+            if p != ROWS:
+                grams.append(unsqueeze(d.as_py())[0])
+                own.append(np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), np.uint8).reshape(4, -1).T).view("<f4").reshape(-1))
+        model = Logs(np.concatenate(grams), np.concatenate(own))
+        out = []
+        for part, normal, asked_grams, begins in _slices(pa.ipc.open_stream(data[kinds.index(ROWS)].as_buffer()).read_all()):
+            found, miss = model.look_up(asked_grams)
+            if miss.any():
+                raise ValueError("an n-gram came back without its log")
+            tokens, heads, bases, rares = [], [], [], []
+            for _, ws in normal:
+                h = np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
+                place = find(known, h)
+                hit = place >= 0
+                odd, tf = counted(h[~hit])
+                tokens.append(len(ws) + 1)
+                heads.append(int(hit.sum()) + (n_docs > 0))
+                bases.append(float(logs[place[hit]].sum()) + end_log)
+                rares.append(list(zip(odd.view(np.int64).tolist(), tf.tolist())))
+            rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rares])]), pa.int32()), pa.StructArray.from_arrays([pa.array([w for x in rares for w, _ in x], pa.int64()), pa.array([t for x in rares for _, t in x], pa.int32())], names=["word", "tf"]))
+            out.append(pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(tokens, pa.int64()), pa.array(heads, pa.int64()), pa.array(bases, pa.float64()), pa.array(np.add.reduceat(found, begins), pa.float64()), rare], names=["doc_id", "train", "n_tokens", "n_head", "head_score", "score", "rare"]))
+        return pa.Table.from_batches(out)
+
+    asked, asked_path = written(ask(rows.select("doc_id", "train", "text"), parts, BATCH_BYTES))
+    chunks = answer(merged, asked, parts, least).unionByName(asked.where(F.col("part") == ROWS).withColumn("logs", F.lit(b"")))
+    scored, _ = written(chunks.groupBy("chunk").applyInArrow(measure, out_schema).withColumn("__row", F.monotonically_increasing_id()))
+    drop_path(spark, asked_path)
     tail = scored.select("__row", F.explode("rare").alias("r")).select("__row", "r.word", "r.tf")
     counts = words.mapInArrow(split(False), "word long, c long")
     tail = tail.join(counts, "word", "left").groupBy("__row").agg(
@@ -492,17 +544,13 @@ def score(
     )
 
 
-def _fresh_logs(model: Trie, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Logs of each byte of several texts in one array, each text as if it stood alone: line ends before its first byte."""
-    n = len(model.levels)
+def fresh_grams(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """N-grams of each byte of several texts in one array, each text as if it stood alone: line ends before its first byte."""
+    n = ORDER + 1
     grams = packed(data, n)
     for k in range(n - 1):  # byte k of a text may look back k bytes only
         at = begins + k
         at = at[at < np.append(begins[1:], len(data))]
         keep = np.uint64((1 << 8 * (k + 1)) - 1)
         grams[at] = (grams[at] & keep) | (np.uint64(0x0A0A0A0A0A0A0A0A) & ~keep & np.uint64((1 << 8 * n) - 1))
-    out, miss = model.look_up(grams)
-    if miss.any():
-        odd, back = np.unique(grams[miss], return_inverse=True)
-        out[miss] = model.escape_down(odd)[back]
-    return out
+    return grams

@@ -109,6 +109,25 @@ def test_bounded_trie_and_nothing_to_learn(spark):
     assert ppm.score(docs.where("false"), F.lit(True)).count() == 0
 
 
+def test_no_counted_gram_is_pruned(spark):
+    rng = np.random.default_rng(7)
+    noise = [bytes(rng.integers(97, 113, 100_000, dtype=np.uint8)).decode() for _ in range(17)]
+    rows = [(i, x) for i, x in enumerate([*noise, *noise, *["zzzzzzy"] * 40, *["zzzzzzw"] * 2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    total = lambda **most: ppm.score(docs, F.lit(True), **most).where("doc_id >= 34").agg(F.sum("score")).first()[0]
+    every = total()
+    assert every == pytest.approx(total(max_grams=1 << 40), rel=1e-9)
+    assert every > total(max_grams=3 << 19) + 1
+
+
+def test_chunks_and_parts_do_not_change_scores(spark, monkeypatch):
+    docs = spark.createDataFrame(texts(), "doc_id long, text string").repartition(3)
+    score = lambda **how: sorted((str(r.doc_id), r.n_tokens, round(r.score, 3)) for r in ppm.score(docs, train_of("doc_id"), **how).collect())
+    want = score()
+    monkeypatch.setattr(ppm, "BATCH_BYTES", 700)
+    assert score(parts=3) == want
+
+
 def test_squeeze_round_trip():
     keys = np.unique(np.random.default_rng(0).integers(0, 2**63, 500, dtype=np.uint64))
     counts = np.random.default_rng(1).integers(1, 600, len(keys))
