@@ -156,12 +156,12 @@ def balanced_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def em_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten rounds of pseudo-labels from ratios between a reference pool and all vectors; the start is the first component."""
+    """Ten rounds of pseudo-labels from ratios of all vectors, as prefixes, to a reference pool of 40 targets; the start is the first component."""
     e = read_table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     pool = e.orderBy(F.md5(F.col("vec_id").cast("string"))).limit(40)
-    pairs = pool.select(F.col("vec_id").alias("prefix"), F.col("x").alias("y")).crossJoin(pool.select(F.col("vec_id").alias("target"), "x"))
+    pairs = e.select(F.col("vec_id").alias("prefix"), F.col("x").alias("y")).crossJoin(F.broadcast(pool.select(F.col("vec_id").alias("target"), "x")))
     ratios = pairs.where("prefix <> target").select("prefix", "target", F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v).alias("ratio"))
-    return M.iterate_membership(ratios, pool.select(F.col("vec_id").alias("id"), F.col("x")[0].alias("m")))
+    return M.iterate_membership(ratios, e.select(F.col("vec_id").alias("id"), F.col("x")[0].alias("m")))
 
 
 @query()

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import math
 import random
@@ -151,6 +152,22 @@ def test_signals_and_membership(spark):
     assert m == pytest.approx(brute(brute({i: float(i) for i in range(6)})))
 
 
+def test_em_membership_scores_every_vector(spark, tmp_path):
+    from lexaudit.plans.evaluation import em_membership
+
+    rng = np.random.default_rng(2)
+    x = {i: [float(v) for v in rng.normal(size=3)] for i in range(90)}
+    spark.createDataFrame(list(x.items()), "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.id: r.m for r in em_membership(spark, str(tmp_path)).collect()}
+    x = {i: np.array(v, np.float32).astype(float) for i, v in x.items()}
+    pool = sorted(x, key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[:40]
+    m = {i: v[0] for i, v in x.items()}
+    for _ in range(10):
+        half = float(np.median(list(m.values())))
+        m = {p: -(brute_auc([(m[t] > half, sum(a * b for a, b in zip(x[p], x[t]))) for t in pool if t != p]) or 0.0) for p in x}
+    assert got == pytest.approx(m)
+
+
 def test_registry():
     assert [m.name for m in scoring.METHODS.resolve(["mink", "min-k", "LOSS"])] == ["minkprob", "loss"]
     with pytest.raises(KeyError):
