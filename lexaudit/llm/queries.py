@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexaudit.llm import ann, chat, exact, langid, minhash, mixing, packing, ppm, suffix, urlfilter
@@ -32,7 +32,9 @@ PROBE = "</s>[INST] ok [/INST]"
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
-    log = rows.unionByName(probe).select("conv_id", F.col("turn").alias("seq"), F.col("turn").alias("msg_id"), F.lit("message").alias("kind"), "role", "text")
+    # each row is a message of its own, those of one turn too; null turns come last, as in the SQL
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text"))
+    log = rows.unionByName(probe).select("conv_id", place.alias("seq"), place.alias("msg_id"), F.lit("message").alias("kind"), "role", "text")
     back = chat.read_back(chat.render(chat.fold_events(log)))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(

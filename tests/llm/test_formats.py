@@ -97,6 +97,22 @@ def test_chat_folds_events(spark):
     assert chat.read_back(chat.render(chat.fold_events(df.where("false")))).count() == 0
 
 
+def test_chat_keeps_every_row_of_a_turn(spark, tmp_path):
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "b"), (1, 1, "assistant", "c"), (1, 1, "assistant", "c"), (1, None, "assistant", "z"), (1, None, "user", "y"), (1, None, "user", "y")]
+    rows += [(2, t, "assistant", str(t)) for t in range(12)] + [(2, 3, None, "tie"), (3, None, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: r for r in Q.op3_chat(spark, str(tmp_path)).collect()}
+    want = {}
+    for c, _, role, text in sorted(rows, key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2] or "", r[3] or "")):
+        want.setdefault(c, []).append((role or "", text or ""))
+    for c, turns in want.items():
+        loss = "".join(t for role, t in turns if role == "assistant")
+        assert got[c].n_turns == len(turns)
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{role}\n{t}\n" for role, t in turns).encode()).hexdigest()
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert got[c].formatted_chars == sum(len(chat.TURN + role + chat.BODY + t + chat.END) for role, t in turns)
+
+
 def test_mixing_follows_the_weights(spark):
     rng = random.Random(6)
     rows = [(i, "x" * rng.randint(1, 30), rng.choice(["a"] * 8 + ["b", None])) for i in range(9000)] + [(None, None, "c"), (5, "yy", "a"), (5, "yy", "a"), (9001, "", "empty")]
