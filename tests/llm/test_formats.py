@@ -170,3 +170,13 @@ def test_urls_equal_brute_force(spark):
     assert sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got), key=str) == sorted(((i, *brute_judge(u, urlfilter.PATTERNS, Q.HOST_RULES)) for i, u in rows), key=str)
     assert urlfilter.judge_urls(pages.where("false"), Q.HOST_RULES).count() == 0
     assert urlfilter.judge_urls(pages, (), ()).where("verdict <> 'allow'").count() == 0
+
+
+@pytest.mark.parametrize("url", ["http://q.io/x?utm_source=feedburner", "https://blog.q.io/x?utm_source=feed9", "http://q.io/?a&utm_source=feeds_x", "http://q.io/a0page?page=2&ref=x9", "http://q.io/xcasino/casino.x", "http://q.io/?sessionid=a1", "http://q.io/9.html#html5"])
+def test_url_tokens_are_in_every_match(spark, url):
+    hit = [p for p in urlfilter.PATTERNS if re.search(p.pattern, url)]
+    assert hit and all(set(p.tokens) <= set(re.findall(urlfilter.TOKEN, url)) for p in hit)
+    # other URLs make utm and source frequent, so a rule would stand under its rarest token
+    pages = spark.createDataFrame([(0, url)] + [(k, f"http://q.io/utm/source/page/ref?{k}") for k in range(1, 4)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urlfilter.judge_urls(pages, Q.HOST_RULES).collect()}
+    assert got[0] == brute_judge(url, urlfilter.PATTERNS, Q.HOST_RULES)[3]
