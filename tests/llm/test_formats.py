@@ -1,9 +1,11 @@
 import hashlib
-import json
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,25 +25,23 @@ def test_packing_round_trip(spark):
     tok = tokenizers.Tokenizer.from_file(path)
     want = sorted(((d, [*tok.encode(t or "", add_special_tokens=False).ids, 1]) for d, t in rows), key=str)
     assert len({p.sequence_id for p in pieces}) == len(pieces)
-    docs_back, current = [], None
-    for p in pieces:  # rows come in the order of the documents
-        ids = np.frombuffer(p.ids, "<u4")
-        assert p.length == len(ids) <= 2048 and p.length & (p.length - 1) == 0 and p.offset == 0
-        if p.start == 0:
-            current = []
-            docs_back.append((p.doc_id, current, p.doc_tokens))
-        assert p.start == len(current)
-        current.extend(ids.tolist())
-    assert all(len(x) == n for _, x, n in docs_back)
-    assert sorted(((d, x) for d, x, _ in docs_back), key=str) == want
+    for p in pieces:
+        assert p.length == len(p.ids) // 4 <= 2048 and p.length & (p.length - 1) == 0 and p.offset == 0
+    # of one id's texts, pieces of equal start come in the order of the texts' pieces of length
+    back = {}
+    for p in pieces:
+        back.setdefault((p.doc_id, p.doc_tokens), {}).setdefault(p.start, []).append(np.frombuffer(p.ids, "<u4").tolist())
+    assert {k: len(v[0]) for k, v in back.items()} == Counter((d, len(x)) for d, x in want)
+    docs_back = [(d, [t for s in sorted(v) for t in v[s][k]]) for (d, _), v in back.items() for k in range(len(v[0]))]
+    assert sorted(docs_back, key=str) == want
     assert packing.pack(docs.where("false"), path).count() == 0
 
 
 def test_packing_cache_starts_anew(spark, monkeypatch):
     encoder = packing.WordEncoder(Q.tokenizer_path(packing.TOKENIZER), 1)
-    monkeypatch.setattr(packing, "CACHE_PIECES", 3)
-    for text in ("a b c d e", "f g h", "a b"):
-        ids, n = encoder.encode([text])
+    monkeypatch.setattr(packing, "CACHE_WORDS", 3)
+    for text in ("a b c d e", "f g h", "a b", "a b z.", ""):
+        ids, n = encoder.encode(pa.array([text]))
         assert ids.tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1] and n.tolist() == [len(ids)]
 
 
@@ -52,7 +52,46 @@ def test_words_split_as_the_tokenizer_splits():
     letters = [*"abcXYZ09''.,*<|>-_\\\"", "'s", "'ll", "é", "É", "ß", "ª", "²", "½", "\xad", "\xa0", "\x85", "\u0130", "ŉ", "Σ", "\u0301", "東", "<|endoftext|>", " ", "\n", "\x1f"]
     for _ in range(4000):
         text = "".join(rng.choices(letters, k=rng.randint(0, 14)))
-        assert encoder.encode([text])[0].tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1], repr(text)
+        assert encoder.encode(pa.array([text]))[0].tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1], repr(text)
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    tokenizer = Tokenizer(models.WordLevel({"a b": 5, "a": 6, "?": 0}, unk_token="?"))
+    tokenizer.pre_tokenizer = pre_tokenizers.Split("|", "removed")
+    tokenizer.save(str(tmp_path / "t.json"))
+    encoder = packing.WordEncoder(str(tmp_path / "t.json"), 1)
+    assert not encoder.splits
+    ids, counts = encoder.encode(pa.array(["a b|a", "", "a b"]))
+    assert ids.tolist() == [5, 6, 1, 1, 5, 1] and counts.tolist() == [3, 1, 2]
+
+
+def test_op1_rows(spark, tmp_path):
+    rows = [(i, "Say it again. " * n) for i, n in enumerate([0, 1, 3, 700, 1500])] + [(None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = Q.op1_pack(spark, str(tmp_path)).collect()
+    tok = tokenizers.Tokenizer.from_file(Q.tokenizer_path(packing.TOKENIZER))
+    want = []
+    for d, t in rows:
+        ids, at = [*tok.encode(t or "", add_special_tokens=False).ids, 1], 0
+        for n in packing.decompose(len(ids), 2048):
+            want.append((d, at, n, zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes()), len(ids), 0))
+            at += n
+    assert sorted((tuple(r)[:5] + (r.offset,) for r in got), key=str) == sorted(want, key=str)
+    assert len({r.sequence_id for r in got}) == len(got)
+
+
+def test_buckets_hold_equal_lengths(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "w " * (i * 37 % 300)) for i in range(200)] + [(None, None)], "doc_id long, text string").withColumn("length", F.lit("clash")).repartition(3)
+    pieces = packing.pack(docs, Q.tokenizer_path(packing.TOKENIZER))
+    packing.write_buckets(pieces, str(tmp_path / "b"))
+    back = spark.read.parquet(str(tmp_path / "b"))
+    assert sorted(r.length for r in back.select("length").collect()) == sorted(r.length for r in pieces.select("length").collect())
+    assert back.where(F.length("ids") != 4 * F.col("length")).count() == 0
+    order = pieces.select("length", F.spark_partition_id().alias("p")).collect()
+    assert all(a.length <= b.length for a, b in zip(order, order[1:]) if a.p == b.p)
+    packing.write_buckets(pieces.where("false"), str(tmp_path / "none"))
 
 
 def test_decompose():
