@@ -57,22 +57,36 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def salted_join(rows: DataFrame, groups: DataFrame, key: str | list[str], heavy: DataFrame, salt_by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) to ``groups``, one row for each key; keys in ``heavy`` (key, __salts) are dealt into so many shares.
+
+    ``heavy`` has fewer than HEAVY_SHARE rows and is broadcast; its groups are repeated for each salt.
+    """
+    keys = [key] if isinstance(key, str) else key
+    marked = rows.join(F.broadcast(heavy), keys, "left")
+    marked = marked.withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(salt_by), F.col("__salts")).cast("int"), F.lit(0))).drop("__salts")
+    spread = groups.join(F.broadcast(heavy), keys, "left")
+    spread = spread.withColumn("__salt", F.explode(F.when(F.col("__salts").isNotNull(), F.sequence(F.lit(0), F.col("__salts") - 1)).otherwise(F.array(F.lit(0))))).drop("__salts")
+    return marked.join(spread, [*keys, "__salt"], how).drop("__salt")
+
+
+def heavy_of(groups: DataFrame, key: str | list[str], size: str, total: int) -> DataFrame:
+    """key, __salts of the groups of more than 1/HEAVY_SHARE of ``total`` rows: fewer than HEAVY_SHARE, in shares of about that size."""
+    keys = [key] if isinstance(key, str) else key
+    least = max(total // HEAVY_SHARE, 1)
+    return groups.where(F.col(size) > least).select(*keys, F.ceil(F.col(size) / F.lit(least)).cast("int").alias("__salts"))
+
+
 def heavy_join(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, salt_by: str) -> DataFrame:
     """``rows`` joined (inner) to ``groups``: one row for each key, with the number of its rows in ``size``, lineage cut.
 
-    Fewer than HEAVY_SHARE keys can hold more than 1/HEAVY_SHARE of ``total`` rows each. If all are such, ``groups`` is
-    broadcast. Else only the heavy keys are, to salt their rows by ``salt_by`` into shares of about that size, and their
-    groups are repeated for each salt (fewer than 2 * HEAVY_SHARE rows in all); so one shuffle joins all, without a hot key.
+    If no group is heavy, the join is plain; if all are, ``groups`` has fewer than HEAVY_SHARE rows and is broadcast; else
+    the heavy ones are salted, so one shuffle joins all without a hot key.
     """
-    least = max(total // HEAVY_SHARE, 1)
-    heavy = groups.where(F.col(size) > least)
-    n_all, n_heavy = groups.agg(F.count(F.lit(1)), F.count_if(F.col(size) > least)).first()
+    heavy = heavy_of(groups, key, size, total)
+    n_all, n_heavy = groups.count(), heavy.count()
     if n_heavy == 0:
         return rows.join(groups, key)
     if n_heavy == n_all:
         return rows.join(F.broadcast(groups), key)
-    salts = F.ceil(F.col(size) / F.lit(least)).cast("int")
-    marked = rows.join(F.broadcast(heavy.select(key, salts.alias("__salts"))), key, "left")
-    marked = marked.withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(salt_by), F.col("__salts")).cast("int"), F.lit(0))).drop("__salts")
-    spread = groups.withColumn("__salt", F.explode(F.when(F.col(size) > least, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))))
-    return marked.join(spread, [key, "__salt"]).drop("__salt")
+    return salted_join(rows, groups, key, heavy, salt_by)

@@ -2,21 +2,23 @@
 
 Equal strings of LENGTH bytes have the same smallest fingerprint of GRAM bytes, so they meet in one shard, whatever documents
 they stand in; a document's stretch of strings with one smallest fingerprint is a segment. Only segments whose fingerprint
-comes twice are fetched, equal segments once, and each shard of them is sorted with disk-backed queues.
+comes twice, and that share the bytes on one side of it with another, are fetched, equal segments once, and each shard of
+them is sorted with disk-backed queues.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexaudit.llm import esais
-from lexaudit.llm.common import cut, drop_path, written
+from lexaudit.llm.common import cut, drop_path, heavy_of, salted_join, written
 
 LENGTH, GRAM = 400, 16
 #: Bytes of segments in a shard, about.
@@ -49,11 +51,32 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def segments(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """fingerprint, first and last start of the strings of ``length`` bytes that share a smallest fingerprint, in a row; how often it is there."""
+@dataclass
+class Segments:
+    """Stretches of a text whose strings share a smallest fingerprint.
+
+    key: the fingerprint; first, last: starts of the strings; times: how often the fingerprint is there; left, right: a
+    number of the bytes before and after its first place, with_left, with_right: whether any of the strings holds those.
+    """
+
+    key: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    times: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    with_left: np.ndarray
+    with_right: np.ndarray
+
+
+def segments(data: np.ndarray, length: int, gram: int) -> Segments:
+    """The segments of a text. A string holds its fingerprint and ``length - gram`` bytes more, so half of those on one side at least.
+
+    Hence equal strings, if their fingerprint is in their segments once, stand in segments of equal left or of equal right.
+    """
     none = np.empty(0, np.int64)
     if len(data) < length:
-        return np.empty(0, np.uint64), none, none, none
+        return Segments(np.empty(0, np.uint64), none, none, none, none, none, none.astype(bool), none.astype(bool))
     width = length - gram + 1
     prints = fingerprints(data, gram)
     least = sliding_min(prints, width)
@@ -67,7 +90,20 @@ def segments(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.n
     n = len(data) + 1
     sorted_ = np.sort(of * n + places)
     mine = np.searchsorted(kinds, keys) * n
-    return keys, first, last, np.searchsorted(sorted_, mine + last + width) - np.searchsorted(sorted_, mine + first)
+    at = np.searchsorted(sorted_, mine + first)
+    times = np.searchsorted(sorted_, mine + last + width) - at
+    place = sorted_[at] - mine
+    half = -(-(length - gram) // 2)
+    with_left, with_right = place - half >= first, place + gram + half <= last + length
+    values, step = (prints, gram) if half >= gram else (_TABLE[data], 1)
+    offsets = sorted({*range(0, half - step + 1, step), max(half - step, 0)}) if half else []
+    sides = []
+    for begin, there in ((place - half, with_left), (place + gram, with_right)):
+        begin, mixed = np.where(there, begin, 0), np.zeros(len(keys), np.uint64)
+        for o in offsets:
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) + values[np.minimum(begin + o, len(values) - 1)]
+        sides.append((mixed >> np.uint64(32)).astype(np.uint32).view(np.int32))
+    return Segments(keys, first, last, times, *sides, with_left, with_right)
 
 
 def repeated_starts(parts: list[bytes], copies: np.ndarray, length: int) -> list[np.ndarray]:
@@ -123,48 +159,66 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     A byte goes if a string of ``length`` bytes covers it that begins anywhere else too: in this or another document, at
     overlapping places also. Strings are judged on the input and never cross documents.
 
-    1. Each text is cut into segments (fingerprint, its number, text hash, first and last start, segment hash), without its bytes.
+    1. Each text is cut into segments (fingerprint, its number, text hash, first and last start, segment hash, numbers of the
+       bytes on both sides of the fingerprint), without its bytes.
     2. Those whose fingerprint is there once, in all texts, are done. Of the others, equal segments become one class with its
-       number. If all segments of a fingerprint are equal, and several, they repeat throughout.
-    3. The bytes of the other classes are fetched from one text each and dealt into shards by fingerprint; each is sorted.
+       number. Of a fingerprint with several classes, those that share neither side with another hold no repeat of another
+       class; a class of several equal segments repeats throughout.
+    3. The bytes of the other classes are fetched from one text each and dealt into shards by fingerprint and shared side (by
+       fingerprint alone if it repeats inside a segment); each shard is sorted.
     4. Ranges go back to the texts by segment, are joined up and cut out.
 
-    Null or empty texts and texts shorter than ``length`` lose nothing. Rows that repeat, or ids that are null or repeat, are
-    rows of their own: their texts are copies of each other. Equal texts are told by 128-bit
-    hash, equal segments of a fingerprint by 63 further bits. Other columns are not read.
+    Null or empty text and texts shorter than ``length`` lose nothing. Rows that repeat, or ids that are null or repeat, are
+    rows of their own: their texts are copies of each other. Equal texts are told by 128-bit hash, equal segments of a
+    fingerprint by 63 further bits. Copies of a text that hold more than 1/HEAVY_SHARE of all rows are salted by their ids.
+    Other columns are not read.
     """
+    spark = docs.sparkSession
     kind = docs.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    hashed = texts.where(F.length("text") >= length).select("text", F.unhex(F.md5("text")).alias("h"))
+    short = texts.where(F.length("text") < length)
+    hashed = texts.where(F.length("text") >= length).select("text", F.unhex(F.md5("text")).alias("h"), "doc_id")
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "h", "first", "last", "times", "seg"]
+        names = ["doc_id", "key", "h", "first", "last", "times", "seg", "left", "right"]
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                keys, hs, firsts, lasts, times, segs = [], [], [], [], [], []
                 part = batch.slice(at, 200)
-                for x, h in zip(part.column(0), part.column(1).to_pylist()):
+                found, segs = [], []
+                for x in part.column(0):
                     text = _bytes(x)
-                    k, a, b, t = segments(np.frombuffer(text, np.uint8), length, gram)
-                    keys.append(k)
-                    firsts.append(a)
-                    lasts.append(b)
-                    times.append(t)
-                    hs += [h] * len(k)
-                    segs += [xxhash.xxh3_64_intdigest(text[i : j + length]) >> 1 for i, j in zip(a.tolist(), b.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(hs, pa.binary()), pa.array(np.concatenate(firsts).astype(np.int32)), pa.array(np.concatenate(lasts).astype(np.int32)), pa.array(np.concatenate(times).astype(np.int32)), pa.array(segs, pa.int64())], names=names)
-
-    found, place = written(hashed.mapInArrow(cut_up, "key long, h binary, first int, last int, times int, seg long"))
+                    found.append(segments(np.frombuffer(text, np.uint8), length, gram))
+                    segs += [xxhash.xxh3_64_intdigest(text[i : j + length]) >> 1 for i, j in zip(found[-1].first.tolist(), found[-1].last.tolist())]
+                own = pa.array(np.repeat(np.arange(len(found)), [len(f.key) for f in found]))
+                every = lambda name, found=found: np.concatenate([getattr(f, name) for f in found])
+                columns = [pa.array(every("key").view(np.int64)), part.column(1).take(own), *(pa.array(every(c).astype(np.int32)) for c in ("first", "last", "times")), pa.array(segs, pa.int64())]
+                columns += [pa.array(every(c).astype(np.int32), mask=~every("with_" + c)) for c in ("left", "right")]
+                yield pa.RecordBatch.from_arrays([part.column(2).take(own), *columns], names=names)
+
+    found, place = written(hashed.mapInArrow(cut_up, f"doc_id {kind}, key long, h binary, first int, last int, times int, seg long, left int, right int"))
+    # copies of a text: the first segment of each begins at 0
+    copies = found.where("first = 0").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    total = copies.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    heavy = heavy_of(copies, "h", "n", total)
+    heavy = spark.createDataFrame([tuple(r) for r in heavy.collect()], heavy.schema)
     # equal segments are counted before the shuffle; what is left of a fingerprint that came once ends here
     tallied = found.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("n"), F.sum("times").alias("times"))
     # a class has to be sorted if its fingerprint has another, or if it is there once but holds its fingerprint twice
-    again = tallied.groupBy("key").agg(F.sum("times").alias("times"), ((F.count(F.lit(1)) > 1) | (F.sum("n") == 1)).alias("sort")).where("times > 1").select("key", "sort")
-    several = cut(found.join(again, "key"))
-    drop_path(docs.sparkSession, place)
-    copies = several.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("n"), F.bool_or("sort").alias("sort"), F.min(F.struct("h", "first", "last")).alias("at"))
-    classes = cut(copies.select("key", "seg", "n", "sort", "at.h", "at.first", "at.last"))
-    open_ = classes.where("sort")
-    size = open_.agg(F.coalesce(F.sum(F.col("last") - F.col("first") + length), F.lit(0))).first()[0]
+    several_kinds = (F.count(F.lit(1)) > 1) | (F.sum("n") == 1)
+    again = tallied.groupBy("key").agg(F.sum("times").alias("times"), several_kinds.alias("sort"), F.bool_or(F.col("times") > F.col("n")).alias("loose")).where("times > 1").select("key", "sort", "loose")
+    several = cut(found.drop("times").join(again, "key"))
+    drop_path(spark, place)
+    at = F.min(F.struct("doc_id", "h", "first", "last")).alias("at")
+    classes = several.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("n"), F.bool_or("sort").alias("sort"), F.bool_or("loose").alias("loose"), F.min("left").alias("left"), F.min("right").alias("right"), at)
+    share = lambda *by: Window.partitionBy("key", *by)
+    counted = classes.select("key", "seg", "n", "sort", "loose", "left", "right", "at.*").withColumn("__left", F.count("left").over(share("left"))).withColumn("__both", F.count("left").over(share("left", "right"))).withColumn("__right", F.count("right").over(share("right")))
+    by_left = F.col("__left") > 1
+    # those of an equal right that also have an equal left meet by it already
+    by_right = (F.col("__right") > 1) & ~(by_left & (F.col("__both") == F.col("__right")))
+    deals = F.when(F.col("loose"), F.array(F.xxhash64("key"))).otherwise(F.filter(F.array(F.when(by_left, F.xxhash64(F.lit("left"), "key", "left")), F.when(by_right, F.xxhash64(F.lit("right"), "key", "right"))), lambda x: x.isNotNull()))
+    classes = cut(counted.withColumn("deals", F.when(F.col("sort"), deals).otherwise(F.array().cast("array<long>"))).select("key", "seg", "n", "deals", "doc_id", "h", "first", "last"))
+    open_ = classes.where(F.size("deals") > 0)
+    size = open_.agg(F.coalesce(F.sum(F.size("deals") * (F.col("last") - F.col("first") + length)), F.lit(0))).first()[0]
     shards = int(size // shard_bytes) + 1
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,26 +228,33 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 part = batch.slice(at, 50)
                 rows: list[tuple] = []
                 for x, wanted, h in zip(part.column(0), part.column(1), part.column(2).to_pylist()):
-                    if h != done:  # copies of a text mostly follow each other; one of them is enough
+                    if h != done:  # rows that repeat a text and its id mostly follow each other; one of them is enough
                         text = _bytes(x)
-                        rows += [(w["key"], w["seg"], w["n"], text[w["first"] : w["last"] + length]) for w in wanted.as_py()]
+                        rows += [(w["key"], w["seg"], w["n"], text[w["first"] : w["last"] + length], w["deals"]) for w in wanted.as_py()]
                         done = h
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["key", "seg", "n", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))], names=["key", "seg", "n", "data", "deals"])
 
-    wanted = open_.groupBy("h").agg(F.collect_list(F.struct("key", "seg", "n", "first", "last")).alias("wanted"))
-    data = hashed.join(wanted, "h").select("text", "wanted", "h").mapInArrow(fetch, "key long, seg long, n long, data binary").dropDuplicates(["key", "seg"])
-    dealt = data.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+    wanted = open_.groupBy("h", "doc_id").agg(F.collect_list(F.struct("key", "seg", "n", "first", "last", "deals")).alias("wanted"))
+    same = hashed["h"].eqNullSafe(wanted["h"]) & hashed["doc_id"].eqNullSafe(wanted["doc_id"])
+    data = hashed.join(wanted, same).select("text", "wanted", hashed["h"]).mapInArrow(fetch, "key long, seg long, n long, data binary, deals array<long>")
+    shard = F.explode(F.array_distinct(F.transform("deals", lambda d: F.pmod(F.xxhash64(d), F.lit(shards)).cast("int"))))
+    dealt = data.select("key", "seg", "n", "data", shard.alias("shard"))
 
     def order(table: pa.Table) -> pa.Table:
-        parts = [_bytes(x) for x in table.column("data")]
-        runs = repeated_starts(parts, table.column("n").to_numpy(), length)
+        names = list(zip(table.column("key").to_pylist(), table.column("seg").to_pylist()))
+        table = table.take(pa.array(list({x: i for i, x in enumerate(names)}.values()), pa.int64()))
+        runs = repeated_starts([_bytes(x) for x in table.column("data")], table.column("n").to_numpy(), length)
         return pa.table({"key": table.column("key"), "seg": table.column("seg"), "runs": pa.array([[{"a": int(a), "b": int(b)} for a, b in r] for r in runs], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))})
 
-    runs = dealt.groupBy("shard").applyInArrow(order, "key long, seg long, runs array<struct<a:int,b:int>>")
+    runs = dealt.groupBy("shard").applyInArrow(order, "key long, seg long, runs array<struct<a:int,b:int>>").where(F.size("runs") > 0)
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("last") - F.col("first")).alias("b")))
-    partly = several.where("sort").join(cut(runs.where(F.size("runs") > 0)), ["key", "seg"]).select("h", "first", "runs")
-    ranges = partly.unionByName(several.where("not sort").select("h", "first", whole.alias("runs")))
-    joined = cut(ranges.distinct().select("h", F.transform("runs", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b"))).alias("runs")).groupBy("h").agg(F.flatten(F.collect_list("runs")).alias("runs")))
+    runs = cut(runs.groupBy("key", "seg").agg(F.flatten(F.collect_list("runs")).alias("runs"))).unionByName(classes.where((F.size("deals") == 0) & (F.col("n") > 1)).select("key", "seg", whole.alias("runs")))
+    # of each text once, however many copies it has; a class that many texts share is dealt by their hashes
+    spots = several.select("key", "seg", "h", "first").distinct()
+    segments_, crowd = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], classes.select("key", "seg", "n")
+    ranges = salted_join(spots, runs, ["key", "seg"], heavy_of(crowd, ["key", "seg"], "n", segments_), "h")
+    moved = F.transform("runs", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b")))
+    joined = cut(ranges.select("h", moved.alias("runs")).groupBy("h").agg(F.flatten(F.collect_list("runs")).alias("runs")))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,8 +271,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 spans = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.binary()), pa.array(removed, spans), pa.array(sizes, pa.int64())], names=["doc_id", "kept", "removed", "n_bytes"])
 
-    every = texts.withColumn("h", F.unhex(F.md5("text"))).join(joined, "h", "left").select("doc_id", "text", "runs")
+    every = salted_join(hashed, joined, "h", heavy, "doc_id", "left").select("doc_id", "text", "runs")
+    every = every.unionByName(short.withColumn("runs", F.lit(None).cast("array<struct<a:int,b:int>>")))
     out = every.mapInArrow(cut_out, f"doc_id {kind}, kept binary, removed array<struct<begin:int,end:int>>, n_bytes long")
     return out.withColumnRenamed("doc_id", id_col)
-
-

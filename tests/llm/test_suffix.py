@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexaudit.llm import esais, suffix
+from lexaudit.llm import queries as Q
 
 
 def brute_order(text, limit):
@@ -70,5 +71,45 @@ def test_removal_equals_brute_force(spark, length, gram, shard):
     assert sorted(((r.doc_id, r.n_bytes, sum(x.end - x.begin for x in r.removed), len(r.removed), hashlib.sha256(r.kept).hexdigest()) for r in got), key=str) == brute_remove(rows(length), length)
 
 
+def test_planted_passages_go_and_clean_texts_stay(spark, tmp_path):
+    """op8_suffix itself, at its 400 bytes: passages of 400 bytes and more that several documents hold, and copies."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(3, 9)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    passages = [words(n) for n in (70, 90, 120, 300)]
+    assert min(map(len, passages)) >= 400
+    clean = [(i, words(rng.choice([40, 200, 900]))) for i in range(60)]
+    planted = [(100 + i, " ".join([words(rng.randint(0, 150)), passages[i % 4], words(rng.randint(0, 150))])) for i in range(40)]
+    copies = [(200 + i, planted[3][1]) for i in range(30)]
+    rows = clean + planted + copies + [(300, None), (None, "x" * 399), (301, "x" * 400 + "y")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in Q.op8_suffix(spark, str(tmp_path)).collect()}
+    assert sorted(((d, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for d, r in got.items()), key=str) == brute_remove(rows, 400)
+    assert all(got[d].n_removed == 0 for d, _ in clean)
+    assert all(got[d].n_removed >= len(passages[d % 4]) for d, _ in planted)
+    assert all(got[d].n_removed == len(t) == got[d].n_bytes for d, t in copies)
+
+
+@pytest.mark.parametrize(("length", "gram"), [(40, 8), (24, 16), (17, 16), (16, 16), (9, 4)])
+def test_equal_strings_share_a_side(length, gram):
+    rng = np.random.default_rng(length)
+    seen = {}
+    base = rng.integers(97, 101, 4000).astype(np.uint8)
+    for k in range(30):
+        text = np.concatenate([rng.integers(97, 101, rng.integers(0, 200)), base[k * 100 : k * 100 + 350], rng.integers(97, 101, 60)]).astype(np.uint8)
+        found = suffix.segments(text, length, gram)
+        assert found.first[0] == 0 and (found.first[1:] == found.last[:-1] + 1).all() and found.last[-1] == len(text) - length
+        for i in range(len(found.key)):
+            for s in range(found.first[i], found.last[i] + 1):
+                sides = {(c, int(getattr(found, c)[i])) for c in ("left", "right") if getattr(found, "with_" + c)[i]}
+                seen.setdefault(text[s : s + length].tobytes(), []).append((int(found.key[i]), int(found.times[i]), sides))
+    repeated = [v for v in seen.values() if len(v) > 1]
+    assert len(repeated) > 1000
+    for v in repeated:
+        assert len({k for k, _, _ in v}) == 1
+        if all(t == 1 for _, t, _ in v):
+            assert set.intersection(*(sides for _, _, sides in v))
+
+
 def test_removal_of_nothing(spark):
     assert suffix.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
