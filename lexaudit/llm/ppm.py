@@ -7,6 +7,7 @@ looking up are sorts and hash probes of arrays.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,17 +29,40 @@ DISCOUNT = 0.5
 #: A symbol stands in a context if it was seen there so often, and a context of two bytes or more if it was seen so often;
 #: rarer ones leave the estimate to shorter contexts, whose counts are firmer.
 MIN_COUNT, MIN_TOTAL = 2, 32
-#: Bytes of text counted or scored at a time.
-BATCH_BYTES = 16_000_000
+#: Bytes of text in a chunk that is scored, and bytes whose n-grams are in memory at a time.
+BATCH_BYTES, PIECE_BYTES = 16_000_000, 1 << 19
+#: N-grams sorted at a time, and distinct ones that a counting task holds.
+SORTED, HELD = 1 << 21, 1 << 21
+#: Bytes of training text for each part of the model, about; there are as many parts as shuffle partitions at least.
+PART_BYTES = 1 << 28
 #: Contexts are dealt by their last three bytes, so the trie of orders 3 and up is complete in each part.
 DEAL_BYTES = 3
+LOW_PARTS = 16
 WORD_KIND, GRAM_KIND = 0, 1
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def normal_bytes(text: bytes) -> tuple[bytes, list[bytes]]:
-    words = text.lower().split()
-    return b" ".join(words) + b"\n", words
+_BLANK = re.compile(rb"\s")
+
+
+def words_of(text: bytes) -> Iterator[list[bytes]]:
+    """The words, those of about PIECE_BYTES at a time."""
+    at = 0
+    while at < len(text):
+        blank = _BLANK.search(text, at + PIECE_BYTES) if len(text) - at > PIECE_BYTES else None
+        end = blank.start() if blank else len(text)
+        yield text[at:end].lower().split()
+        at = end
+
+
+def normal_bytes(text: bytes) -> tuple[bytes, np.ndarray]:
+    """The text as it is modelled, and the hashes of its words."""
+    data, hashes = [], []
+    for words in words_of(text):
+        if words:
+            data.append(b" ".join(words))
+            hashes.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+    return b" ".join(data) + b"\n", np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
 
 
 def packed(data: np.ndarray, n: int) -> np.ndarray:
@@ -66,6 +90,17 @@ def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nda
     return keys[first], np.add.reduceat(weights, first)
 
 
+def joined_counts(old: tuple[np.ndarray, np.ndarray], new: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Both counts together, of sorted distinct keys; those of ``old`` are overwritten."""
+    if not len(old[0]):
+        return new
+    at = np.searchsorted(old[0], new[0])
+    same = old[0][np.minimum(at, len(old[0]) - 1)] == new[0]
+    old[1][at[same]] += new[1][same]
+    at, fresh = at[~same], ~same
+    return np.insert(old[0], at, new[0][fresh]), np.insert(old[1], at, new[1][fresh])
+
+
 def squeeze(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted keys and their counts, byte by byte of equal weight together, compressed."""
     planes = keys.astype("<u8").view(np.uint8).reshape(-1, 8).T
@@ -103,46 +138,33 @@ def count_blocks(docs: DataFrame, parts: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([kind] * len(got), pa.int32()), pa.array([p for p, _ in got], pa.int32()), pa.array([d for _, d in got], pa.binary())], names=["kind", "part", "data"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {WORD_KIND: [], GRAM_KIND: []}
-
-        def merge(kind: int) -> None:
-            if len(held[kind]) > 1:
-                held[kind] = [counted(np.concatenate([k for k, _ in held[kind]]), np.concatenate([c for _, c in held[kind]]))]
-
-        for texts in _chunks(batches, 0):
-            grams, hashes = [], []
-            for x in texts:
-                data, words = normal_bytes(x)
-                grams.append(packed(np.frombuffer(data, np.uint8), ORDER + 1))
-                hashes.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
-            held[GRAM_KIND].append(counted(np.concatenate(grams)))
-            held[WORD_KIND].append(counted(np.concatenate(hashes)))
-            for kind in held:
-                merge(kind)
-                if len(held[kind][0][0]) > 6_000_000:
-                    yield emit(kind, *held[kind].pop())
+        held = {kind: (np.empty(0, np.uint64), np.empty(0, np.int64)) for kind in (WORD_KIND, GRAM_KIND)}
+        fresh: dict[int, list[np.ndarray]] = {WORD_KIND: [], GRAM_KIND: []}
+        size = {WORD_KIND: 0, GRAM_KIND: 0}
+
+        def take(kind: int, keys: np.ndarray, last: bool = False) -> Iterator[pa.RecordBatch]:
+            fresh[kind].append(keys)
+            size[kind] += len(keys)
+            if size[kind] >= SORTED or last:
+                keys = np.concatenate(fresh[kind])
+                fresh[kind], size[kind] = [], 0
+                held[kind] = joined_counts(held[kind], counted(keys))
+                if len(held[kind][0]) > HELD or last and len(held[kind][0]):
+                    yield emit(kind, *held[kind])
+                    held[kind] = (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+        for batch in batches:
+            for x in batch.column(0).cast(pa.binary()):
+                data, hashes = normal_bytes(x.as_py() or b"")
+                for _, grams in grams_of(np.frombuffer(data, np.uint8), np.zeros(1, np.int64)):
+                    yield from take(GRAM_KIND, grams)
+                yield from take(WORD_KIND, hashes)
         for kind in held:
-            merge(kind)
-            if held[kind]:
-                yield emit(kind, *held[kind].pop())
+            yield from take(kind, np.empty(0, np.uint64), last=True)
 
     return docs.mapInArrow(count, "kind int, part int, data binary")
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[bytes]]:
-    """Texts, about BATCH_BYTES at a time."""
-    texts, size = [], 0
-    for batch in batches:
-        for x in batch.column(column).cast(pa.binary()):
-            texts.append(x.as_py() or b"")
-            size += len(texts[-1]) + 1
-            if size >= BATCH_BYTES:
-                yield texts
-                texts, size = [], 0
-    if texts:
-        yield texts
-
-
 def merge_blocks(blocks: DataFrame) -> DataFrame:
     """One block for each kind and part: kind, part, keys, total, data."""
 
@@ -154,24 +176,29 @@ def merge_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("kind", "part").applyInArrow(merge, "kind int, part int, keys long, total long, data binary")
 
 
+def rounded(counts: np.ndarray) -> np.ndarray:
+    """Counts to 16 leading bits, rounded down: few different ones, whatever the input."""
+    shift = np.maximum(np.frexp(counts.astype(np.float64))[1] - 16, 0)
+    return (counts >> shift) << shift
+
+
 def least_count(merged: DataFrame, kind: int, most: int) -> int:
-    """The smallest count at which at most ``most`` keys of a kind have it or more."""
+    """A count that at most ``most`` keys of a kind have or exceed; the smallest such, to 16 leading bits."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column(0):
-                n = np.bincount(np.minimum(unsqueeze(x.as_py())[1], 1 << 16))
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["c", "n"])
+                at, n = np.unique(rounded(unsqueeze(x.as_py())[1]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n, pa.int64())], names=["c", "n"])
 
     rows = merged.where(F.col("kind") == kind).select("data").mapInArrow(tally, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()
-    seen, least = 0, 1
+    seen, least = 0, (1 << 63) - 1
     for c, n in sorted(((r.c, r.n) for r in rows), reverse=True):
         seen += n
         if seen > most:
-            least = c + 1
-            break
-    return least
+            return least
+        least = c
+    return 1
 
 
 @dataclass
@@ -343,14 +370,18 @@ class Trie(Logs):
 
 
 def low_orders(merged: DataFrame, least: int) -> list[Order]:
-    """The orders of contexts shorter than DEAL_BYTES, whose counts meet in the driver: at most 256 ** DEAL_BYTES of them, whatever the input."""
+    """The orders of contexts shorter than DEAL_BYTES. The parts' counts are merged in LOW_PARTS tasks; at most 256 ** DEAL_BYTES counts in all, whatever the input, go to the driver."""
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array([squeeze(*shorter(*unsqueeze(x.as_py()), DEAL_BYTES))], pa.binary())], names=["data"])
+                grams, counts = shorter(*unsqueeze(x.as_py()), DEAL_BYTES)
+                where = _mixed(grams, LOW_PARTS)
+                got = [(p, squeeze(grams[where == p], counts[where == p])) for p in range(LOW_PARTS) if (where == p).any()]
+                yield pa.RecordBatch.from_arrays([pa.array([GRAM_KIND] * len(got), pa.int32()), pa.array([p for p, _ in got], pa.int32()), pa.array([d for _, d in got], pa.binary())], names=["kind", "part", "data"])
 
-    got = [unsqueeze(r.data) for r in merged.where(F.col("kind") == GRAM_KIND).select("data").mapInArrow(shorten, "data binary").collect()]
+    short = merged.where(F.col("kind") == GRAM_KIND).select("data").mapInArrow(shorten, "kind int, part int, data binary")
+    got = [unsqueeze(r.data) for r in merge_blocks(short).select("data").collect()]
     grams, counts = counted(*(np.concatenate([np.empty(0, kind), *x]) for kind, x in zip((np.uint64, np.int64), zip(*got) if got else ((), ()))))
     orders = [build_order(grams, counts, least, DEAL_BYTES - 1)]
     for n in range(DEAL_BYTES - 2, -1, -1):
@@ -370,14 +401,14 @@ def part_trie(grams: np.ndarray, counts: np.ndarray, least: int, low: list[Order
     return Trie([level(o, orders[n - 1] if n else None, n) for n, o in enumerate(orders)])
 
 
-def _slices(rows: pa.Table | pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[tuple[bytes, list[bytes]]], np.ndarray, np.ndarray]]:
-    """256 rows at a time: rows, normal texts (of the last column), the n-grams of all their bytes and where each text begins."""
+def _slices(rows: pa.Table | pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """256 rows at a time: rows, word hashes of their texts (the last column), the bytes of all normal texts and where each begins."""
     for batch in rows.to_batches() if isinstance(rows, pa.Table) else [rows]:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             normal = [normal_bytes(x.as_py() or b"") for x in part.column(part.num_columns - 1).cast(pa.binary())]
             begins = np.cumsum([0, *(len(d) for d, _ in normal[:-1])])
-            yield part, normal, fresh_grams(np.frombuffer(b"".join(d for d, _ in normal), np.uint8), begins), begins
+            yield part, [h for _, h in normal], np.frombuffer(b"".join(d for d, _ in normal), np.uint8), begins
 
 
 #: Part of the rows of a chunk, beside those of its n-grams.
@@ -406,7 +437,12 @@ def ask(rows: DataFrame, parts: int, chunk_bytes: int) -> DataFrame:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for k, table in enumerate(chunks(batches)):
-            grams = counted(np.concatenate([counted(g)[0] for _, _, g, _ in _slices(table)]))[0]
+            grams, few = np.empty(0, np.uint64), []
+            for _, _, data, begins in _slices(table):
+                few += [counted(g)[0] for _, g in grams_of(data, begins)]
+                if sum(map(len, few)) >= SORTED:
+                    grams, few = counted(np.concatenate([grams, *few]))[0], []
+            grams = counted(np.concatenate([grams, *few]))[0]
             where = gram_part(grams, parts)
             order = np.argsort(where, kind="stable")
             grams, ends = grams[order], np.searchsorted(where[order], np.arange(parts + 1))
@@ -469,10 +505,10 @@ def score(
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    parts = parts or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_docs, size = rows.where("train").agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    parts = parts or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
     merged = cut(merge_blocks(count_blocks(rows.where("train").select("text"), parts)))
     stats = {r.kind: r for r in merged.groupBy("kind").agg(F.sum("keys").alias("keys"), F.sum("total").alias("total")).collect()}
-    n_docs = rows.where("train").count()
     n = (stats[WORD_KIND].total if WORD_KIND in stats else 0) + n_docs
     v = (stats[WORD_KIND]["keys"] if WORD_KIND in stats else 0) + (n_docs > 0)
     least = MIN_COUNT if max_grams is None else max(MIN_COUNT, least_count(merged, GRAM_KIND, max_grams))
@@ -509,22 +545,26 @@ def score(
                 own.append(np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), np.uint8).reshape(4, -1).T).view("<f4").reshape(-1))
         model = Logs(np.concatenate(grams), np.concatenate(own))
         out = []
-        for part, normal, asked_grams, begins in _slices(pa.ipc.open_stream(data[kinds.index(ROWS)].as_buffer()).read_all()):
-            found, miss = model.look_up(asked_grams)
-            if miss.any():
-                raise ValueError("an n-gram came back without its log")
+        for part, normal, text, begins in _slices(pa.ipc.open_stream(data[kinds.index(ROWS)].as_buffer()).read_all()):
+            scores = np.zeros(len(begins))
+            for at, asked_grams in grams_of(text, begins):
+                found, miss = model.look_up(asked_grams)
+                if miss.any():
+                    raise ValueError("an n-gram came back without its log")
+                first = int(np.searchsorted(begins, at, side="right")) - 1  # the text that goes on here, then those that begin here
+                starts = np.concatenate([[0], begins[first + 1 : np.searchsorted(begins, at + len(found))] - at])
+                scores[first : first + len(starts)] += np.add.reduceat(found, starts)
             tokens, heads, bases, rares = [], [], [], []
-            for _, ws in normal:
-                h = np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
+            for h in normal:
                 place = find(known, h)
                 hit = place >= 0
                 odd, tf = counted(h[~hit])
-                tokens.append(len(ws) + 1)
+                tokens.append(len(h) + 1)
                 heads.append(int(hit.sum()) + (n_docs > 0))
                 bases.append(float(logs[place[hit]].sum()) + end_log)
                 rares.append(list(zip(odd.view(np.int64).tolist(), tf.tolist())))
             rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rares])]), pa.int32()), pa.StructArray.from_arrays([pa.array([w for x in rares for w, _ in x], pa.int64()), pa.array([t for x in rares for _, t in x], pa.int32())], names=["word", "tf"]))
-            out.append(pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(tokens, pa.int64()), pa.array(heads, pa.int64()), pa.array(bases, pa.float64()), pa.array(np.add.reduceat(found, begins), pa.float64()), rare], names=["doc_id", "train", "n_tokens", "n_head", "head_score", "score", "rare"]))
+            out.append(pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(tokens, pa.int64()), pa.array(heads, pa.int64()), pa.array(bases, pa.float64()), pa.array(scores, pa.float64()), rare], names=["doc_id", "train", "n_tokens", "n_head", "head_score", "score", "rare"]))
         return pa.Table.from_batches(out)
 
     asked, asked_path = written(ask(rows.select("doc_id", "train", "text"), parts, BATCH_BYTES))
@@ -544,13 +584,19 @@ def score(
     )
 
 
-def fresh_grams(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """N-grams of each byte of several texts in one array, each text as if it stood alone: line ends before its first byte."""
+def grams_of(data: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Place and n-grams of PIECE_BYTES bytes at a time of several texts in one array, each text as if it stood alone: line ends before its first byte."""
     n = ORDER + 1
-    grams = packed(data, n)
-    for k in range(n - 1):  # byte k of a text may look back k bytes only
-        at = begins + k
-        at = at[at < np.append(begins[1:], len(data))]
-        keep = np.uint64((1 << 8 * (k + 1)) - 1)
-        grams[at] = (grams[at] & keep) | (np.uint64(0x0A0A0A0A0A0A0A0A) & ~keep & np.uint64((1 << 8 * n) - 1))
-    return grams
+    for at in range(0, len(data), PIECE_BYTES):
+        end = min(at + PIECE_BYTES, len(data))
+        low = max(at - ORDER, 0)
+        grams = packed(data[low:end], n)[at - low :]
+        near = begins[np.searchsorted(begins, low) : np.searchsorted(begins, end)]
+        for k in range(n - 1):  # byte k of a text may look back k bytes only
+            places = near + k
+            places = places[(places >= at) & (places < end)]
+            of = begins[np.searchsorted(begins, places, side="right") - 1]
+            places = places[of == places - k] - at
+            keep = np.uint64((1 << 8 * (k + 1)) - 1)
+            grams[places] = (grams[places] & keep) | (np.uint64(0x0A0A0A0A0A0A0A0A) & ~keep & np.uint64((1 << 8 * n) - 1))
+        yield at, grams

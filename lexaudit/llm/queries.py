@@ -78,7 +78,9 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.remove_repeats(read_table(spark, sf_dir, "documents"))
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["begin"])
-    return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    # a span may begin or end inside a character: its other bytes show as the replacement character in ``text``
+    left = F.make_valid_utf8(F.col("kept").cast("string"))
+    return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), left.alias("text"))
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,12 +67,12 @@ def test_scores_equal_brute_force(spark, max_words, parts):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("train", F.lit("clash"))
     got = ppm.score(docs, train_of("doc_id"), max_words=max_words, parts=parts).collect()
     learned = [(t or "").encode() for d, t in rows if d is not None and zlib.crc32(str(d).encode()) % 5 != 1]
-    words = Counter(w for t in learned for w in ppm.normal_bytes(t)[1])
+    words = Counter(w for t in learned for w in t.lower().split())
     n, v = sum(words.values()) + len(learned), len(words) + 1
     trie = BruteTrie(learned, ppm.MIN_COUNT)
     want = {}
     for d, t in rows:
-        mine = ppm.normal_bytes((t or "").encode())[1]
+        mine = (t or "").encode().lower().split()
         base = sum(math.log10((c + 0.5) / (n + 0.5 * (v + 1))) for c in [*(words[w] for w in mine), len(learned)])
         want.setdefault(d, []).append((len(mine) + 1, 1 + sum(w in words for w in mine), n, base, trie.score((t or "").encode())))
     assert len(got) == len(rows)
@@ -126,6 +126,33 @@ def test_chunks_and_parts_do_not_change_scores(spark, monkeypatch):
     want = score()
     monkeypatch.setattr(ppm, "BATCH_BYTES", 700)
     assert score(parts=3) == want
+    monkeypatch.setattr(ppm, "PIECE_BYTES", 5)
+    monkeypatch.setattr(ppm, "SORTED", 40)
+    monkeypatch.setattr(ppm, "HELD", 60)
+    assert score(parts=3) == want
+
+
+def test_pieces_have_the_grams_of_whole_texts(monkeypatch):
+    rng = np.random.default_rng(5)
+    for size in (1, 3, 6, 7, 50):
+        monkeypatch.setattr(ppm, "PIECE_BYTES", size)
+        texts_ = [rng.integers(0, 256, rng.integers(1, 30)).astype(np.uint8) for _ in range(40)]
+        begins = np.cumsum([0, *map(len, texts_[:-1])])
+        got = list(ppm.grams_of(np.concatenate(texts_), begins))
+        assert np.concatenate([g for _, g in got]).tolist() == np.concatenate([ppm.packed(t, ppm.ORDER + 1) for t in texts_]).tolist()
+        assert [a for a, _ in got] == list(range(0, sum(map(len, texts_)), size))
+
+
+def test_few_keys_pass_however_large_their_counts(spark):
+    keys = np.arange(1000, dtype=np.uint64)
+    for counts in (np.full(1000, 70000), 70000 + np.arange(1000), np.arange(1, 1001), np.array([1] * 995 + [1 << 40] * 5)):
+        merged = spark.createDataFrame([(ppm.WORD_KIND, bytearray(ppm.squeeze(keys, counts)))], "kind int, data binary")
+        for most in (0, 1, 10, 999, 1000):
+            least = ppm.least_count(merged, ppm.WORD_KIND, most)
+            n = int((counts >= least).sum())
+            assert n <= most
+            if len(set(counts.tolist())) == 1000 and counts.max() <= 1000:
+                assert n == most
 
 
 def test_squeeze_round_trip():

@@ -85,7 +85,7 @@ def test_planted_passages_go_and_clean_texts_stay(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in Q.op8_suffix(spark, str(tmp_path)).collect()}
     assert sorted(((d, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for d, r in got.items()), key=str) == brute_remove(rows, 400)
-    assert all(got[d].n_removed == 0 for d, _ in clean)
+    assert all(got[d].n_removed == 0 and got[d].text == t for d, t in clean)
     assert all(got[d].n_removed >= len(passages[d % 4]) for d, _ in planted)
     assert all(got[d].n_removed == len(t) == got[d].n_bytes for d, t in copies)
 
