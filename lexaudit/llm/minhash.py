@@ -77,16 +77,17 @@ def signatures(docs: DataFrame, n: int, seed: int, id_col: str, text_col: str) -
 
 
 def shingle_sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id and the whole set, as sorted 64-bit hashes in a binary."""
+    """doc_id, set_hash and the whole set, as sorted 64-bit hashes in a binary."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(x, n).tobytes() for x in _texts(part, 1)], pa.binary())], names=["doc_id", "items"])
+                items = [shingle_set(x, n).tobytes() for x in _texts(part, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in items], pa.binary()), pa.array(items, pa.binary())], names=["doc_id", "set_hash", "items"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(sets, "doc_id long, items binary")
+    return rows.mapInArrow(sets, "doc_id long, set_hash binary, items binary")
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -125,6 +126,18 @@ def least_equal(percent: int) -> int:
     return int(k * p - SIGMAS * (k * p * (1 - p)) ** 0.5)
 
 
+def with_partner(labels: np.ndarray, left: np.ndarray, sigs: np.ndarray, percent: int) -> np.ndarray:
+    """Which members of two blocks (all left: one block) have a partner of another component whose signature does not speak clearly against a link."""
+    least, one, out = least_equal(percent), bool(left.all()), np.zeros(len(labels), bool)
+    for i in range(len(labels)) if one else np.flatnonzero(left):
+        others = np.arange(i + 1, len(labels)) if one else np.flatnonzero(~left)
+        others = others[labels[others] != labels[i]]
+        near = others[(sigs[others] == sigs[i]).sum(axis=1) >= least]
+        out[near] = True
+        out[i] |= len(near) > 0
+    return out
+
+
 def join_block(ids: np.ndarray, labels: np.ndarray, left: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that join different components among the members of two blocks (``left`` tells the block; all left: one block).
 
@@ -168,8 +181,10 @@ def minhash_components(docs: DataFrame, shingle_words: int = 5, percent: int = 8
     1. Signatures; equal sets (by 128-bit hash) are one class from here on, named by its smallest id.
     2. Band buckets. In each, all members are paired with one centre drawn by hash, another in each band: at most BANDS pairs
        for each class. Pairs whose signatures come near are verified on full sets; components are computed.
-    3. Buckets that still hold several components are compared in blocks of BLOCK members, members of one component never.
-       A block emits links between components only. So no link between components is lost, and copies are never expanded.
+    3. Buckets that still hold several components are compared in blocks of BLOCK members: each block of those outside the
+       bucket's largest component with each block of those in it, and with each other. First by signatures; only members
+       with a promising partner of another component bring their sets. A block emits links between components only. So no
+       link between components is lost, and copies are never expanded.
 
     Null or empty text, or blanks only: no set, linked with nothing. Null ids: one row each with a null component, kept.
     Rows that repeat an id are one node with the sets of all. Other columns are not read.
@@ -180,7 +195,7 @@ def minhash_components(docs: DataFrame, shingle_words: int = 5, percent: int = 8
     classes = cut(named.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")))
     total = classes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     best = classes.select("set_hash", F.col("rep").alias("doc_id"))
-    reps, _ = written(named.select("set_hash", "doc_id", "sig").join(best, ["set_hash", "doc_id"], "left_semi").dropDuplicates(["set_hash", "doc_id"]).select(F.col("doc_id").alias("rep"), "sig"))
+    reps, _ = written(named.select("set_hash", "doc_id", "sig").join(best, ["set_hash", "doc_id"], "left_semi").dropDuplicates(["set_hash", "doc_id"]).select(F.col("doc_id").alias("rep"), "set_hash", "sig"))
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)])
     bands = cut(_crowded(reps.select("rep", F.explode(keys).alias("key"))))
 
@@ -227,26 +242,44 @@ def _same_id(named: DataFrame, classes: DataFrame) -> DataFrame | None:
 
 
 def _blocks(docs: DataFrame, bands: DataFrame, labels: DataFrame, reps: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame | None:
-    """Links between the components that still share a bucket, or None if no bucket holds two."""
+    """Links between the components that still share a bucket, or None if there are none."""
     named = bands.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    split = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    sizes = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
+    blocks = lambda size: F.ceil(size / F.lit(BLOCK)).cast("int")
+    split = sizes.where("kinds > 1").select("key", F.col("top.component").alias("big"), blocks(F.col("top.n")).alias("bigs"), blocks(F.col("n") - F.col("top.n")).alias("rests"))
     left = cut(named.join(split, "key"))
     if left.isEmpty():
         return None
-    who = left.select("rep").distinct()
-    sets, _ = written(shingle_sets(docs.select(id_col, text_col).join(who.withColumnRenamed("rep", id_col), id_col, "left_semi"), n, id_col, text_col).dropDuplicates(["doc_id"]))
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("mine")).alias("i"), F.greatest(k, F.col("mine")).alias("j")))
-    rows = left.withColumn("mine", mine).withColumn("at", F.explode(pairs)).select("key", "at.i", "at.j", "mine", "rep", "component")
-    rows = rows.join(reps, "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    # block pairs: rest with rest (j from 0 on), rest with the largest component (j from -1 down)
+    in_big = F.col("component") == F.col("big")
+    mine = F.pmod(F.xxhash64("rep"), F.when(in_big, F.col("bigs")).otherwise(F.col("rests"))).cast("int")
+    rest = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda k: F.struct(F.least(k, F.col("mine")).alias("i"), F.greatest(k, F.col("mine")).alias("j")))
+    to_big = F.transform(F.sequence(F.lit(0), F.col("bigs") - 1), lambda k: F.struct(F.col("mine").alias("i"), (-1 - k).alias("j")))
+    to_rest = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda k: F.struct(k.alias("i"), (-1 - F.col("mine")).alias("j")))
+    rows = left.withColumn("in_big", in_big).withColumn("mine", mine).withColumn("at", F.explode(F.when(F.col("in_big"), to_rest).otherwise(F.concat(rest, to_big))))
+    rows = rows.select("key", "at.i", "at.j", (~F.col("in_big") & ((F.col("at.j") < 0) | (F.col("mine") == F.col("at.i")))).alias("first"), "rep", "component")
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        return np.vstack([np.frombuffer(x.as_buffer(), "<u4") for x in column])
+
+    def look(table: pa.Table) -> pa.Table:
+        labels, left = table.column("component").to_numpy(), table.column("first").to_numpy()
+        return table.drop_columns(["sig"]).filter(pa.array(with_partner(labels, left, matrix(table.column("sig")), percent)))
+
+    kinds = "key long, i int, j int, first boolean, rep long, component long, set_hash binary"
+    near = cut(rows.join(reps, "rep").select("key", "i", "j", "first", "rep", "component", "set_hash", "sig").groupBy("key", "i", "j").applyInArrow(look, kinds))
+    if near.isEmpty():
+        return None
+    who = near.select(F.col("rep").alias(id_col)).distinct()
+    sets, path = written(shingle_sets(docs.select(id_col, text_col).join(who, id_col, "left_semi"), n, id_col, text_col).dropDuplicates(["doc_id", "set_hash"]).withColumnRenamed("doc_id", "rep"))
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by("rep")
         ids, comps = (table.column(c).to_numpy() for c in ("rep", "component"))
-        left = table.column("mine").to_numpy() == table.column("i")[0].as_py()
-        sigs = np.vstack([np.frombuffer(x.as_buffer(), "<u4") for x in table.column("sig")])
         full = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("items")]
-        found = join_block(ids, comps, left, sigs, full, percent)
+        found = join_block(ids, comps, table.column("first").to_numpy(), matrix(table.column("sig")), full, percent)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
-    return cut(rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct())
+    found = cut(near.join(reps, ["rep", "set_hash"]).join(sets, ["rep", "set_hash"]).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct())
+    drop_path(docs.sparkSession, path)
+    return found

@@ -73,6 +73,37 @@ def test_minhash_blocks_join_what_stars_leave():
     assert minhash.join_block(ids, np.array([1, 1, 3, 4]), np.array([True, True, False, False]), sigs, sets, 90) == [(2, 3)]
 
 
+@pytest.mark.parametrize("block", [512, 2])
+def test_minhash_ids_with_several_texts_keep_all_links(spark, monkeypatch, block):
+    """An id that rows with different texts repeat is one node: its component joins those of all of its texts."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(500)]
+    bases = [[rng.choice(vocab) for _ in range(120)] for _ in range(5)]
+    near = lambda g: " ".join([*bases[g][: rng.randint(100, 118)], rng.choice(vocab)])
+    rows = [(10 * g + k, near(g)) for g in range(5) for k in range(8)] + [(3, near(2)), (3, near(4)), (44, near(0)), (44, "short"), (700, "short"), (800, "alone text")]
+    got = minhash.minhash_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 85).collect()
+    sets = [(d, brute_sets(t, 3)) for d, t in rows]
+    edges = [(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[:i] if a == b or 100 * len(x & y) >= 85 * len(x | y)]
+    reach = {d: d for d, _ in rows}
+    for _ in range(len(reach)):
+        for a, b in edges:
+            reach[a] = reach[b] = min(reach[a], reach[b])
+    assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == reach
+
+
+def test_minhash_members_with_partners():
+    import numpy as np
+
+    base = np.arange(0, 300, dtype=np.uint64)
+    a, b = minhash._universal(minhash.BANDS * minhash.ROWS, 1)
+    sigs = np.vstack([minhash.minima(x, a, b) for x in (base, base + np.uint64(4), base + np.uint64(10000), base + np.uint64(10002))])
+    labels = np.array([1, 2, 3, 3])
+    assert minhash.with_partner(labels, np.ones(4, bool), sigs, 85).tolist() == [True, True, False, False]
+    assert minhash.with_partner(labels, np.array([True, False, False, True]), sigs, 85).tolist() == [True, True, False, False]
+    assert minhash.with_partner(np.ones(4), np.ones(4, bool), sigs, 85).tolist() == [False] * 4
+
+
 def test_minhash_odd_tables(spark):
     assert minhash.minhash_components(spark.createDataFrame([], DOCS)).collect() == []
     long = " ".join(f"w{i % 5000}" for i in range(60000))
