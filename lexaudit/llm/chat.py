@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Marks of this template.
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
 #: Strings that steer common chat models; none may come out of a text unbroken.
-CONTROLS = r"</?s>|\[/?INST\]|<</?SYS>>|<\|[A-Za-z_]+\|>|<(?:start|end)_of_turn>|\[/?(?:SYSTEM_PROMPT|TOOL_CALLS|AVAILABLE_TOOLS|TOOL_RESULTS)\]"
+CONTROLS = r"</?s>|\[/?INST\]|<</?SYS>>|<\|[A-Za-z0-9_.:-]+\|>|<(?:start|end)_of_turn>|\[/?(?:SYSTEM_PROMPT|TOOL_CALLS|AVAILABLE_TOOLS|TOOL_RESULTS)\]"
 LOSS_ROLE = "assistant"
 
 EVENTS = "conv_id, seq, msg_id, kind (message, delta, edit, regenerate or delete), role, text"
@@ -16,7 +16,7 @@ EVENTS = "conv_id, seq, msg_id, kind (message, delta, edit, regenerate or delete
 
 def escape(text: Column) -> Column:
     r"""Doubles every ``\`` and puts one after the first character of every control string; ``unescape`` undoes it."""
-    return F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\"), rf"([<\[])(?=(?<=<)(?:/?s>|</?SYS>>|\|[A-Za-z_]+\|>|(?:start|end)_of_turn>)|(?<=\[)/?(?:INST|SYSTEM_PROMPT|TOOL_CALLS|AVAILABLE_TOOLS|TOOL_RESULTS)\])", r"$1\\")
+    return F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\"), rf"([<\[])(?=(?<=<)(?:/?s>|</?SYS>>|\|[A-Za-z0-9_.:-]+\|>|(?:start|end)_of_turn>)|(?<=\[)/?(?:INST|SYSTEM_PROMPT|TOOL_CALLS|AVAILABLE_TOOLS|TOOL_RESULTS)\])", r"$1\\")
 
 
 def unescape(text: Column) -> Column:
@@ -57,8 +57,11 @@ def render(messages: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:
     A turn is TURN, role, BODY, text, END; role and text are escaped, so that no control string is in ``formatted`` but the
     template's own. ``loss_spans``: start and end (code points of ``formatted``) of the texts of ``loss_role``, in order,
     without the marks. A conversation comes out as one row, so one task builds it; nothing else is gathered.
+
+    Turns stand by pos (null first), then msg_id, role and text; messages that repeat pos and msg_id all stay. Messages of
+    a null conv_id are one conversation. Null role and null text count as empty; other columns are not read.
     """
-    turn = F.struct("pos", "msg_id", F.coalesce("role", F.lit("")).alias("role"), escape(F.coalesce("role", F.lit(""))).alias("head"), escape("text").alias("body"))
+    turn = F.struct("pos", "msg_id", F.coalesce("role", F.lit("")).alias("role"), escape(F.coalesce("role", F.lit(""))).alias("head"), escape(F.coalesce("text", F.lit(""))).alias("body"))
     turns = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     text = F.array_join(F.transform("turns", lambda t: F.concat(F.lit(TURN), t["head"], F.lit(BODY), t["body"], F.lit(END))), "")
     marks, tail = len(TURN) + len(BODY), len(END)
@@ -74,7 +77,10 @@ def render(messages: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
-    """conv_id, turns (role, text) and loss_text, as read from ``formatted`` and ``loss_spans`` alone."""
+    """conv_id, formatted, turns (role, text) and loss_text, as read from ``formatted`` and ``loss_spans`` alone.
+
+    Row by row: null and repeated conv_ids stay as they are. A null ``formatted`` gives null turns and text.
+    """
     blocks = F.filter(F.split("formatted", r"<\|end\|>"), lambda x: x != "")
     turns = F.transform(blocks, lambda x: F.struct(unescape(F.substring_index(F.substring(x, len(TURN) + 1, F.length(x)), BODY, 1)).alias("role"), unescape(F.substring(x, F.locate(BODY, x) + len(BODY), F.length(x))).alias("text")))
     loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring("formatted", s["start"] + 1, s["end"] - s["start"]))), "")

@@ -24,17 +24,19 @@ def ascii_lower(column: Column | str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder, a temporary one only in local mode."""
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        configured = tempfile.mkdtemp(prefix="lexaudit-checkpoint-")
-    spark.sparkContext.setCheckpointDir(configured)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    """This application's folder in the checkpoint folder that driver and executors share, a temporary one only in local mode. It goes when the driver ends."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            if not context.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            configured = tempfile.mkdtemp(prefix="lexaudit-checkpoint-")
+        context.setCheckpointDir(configured)
+    own = context._jsc.sc().getCheckpointDir().get()
+    at = context._jvm.org.apache.hadoop.fs.Path(own)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return own
 
 
 def cut(df: DataFrame) -> DataFrame:

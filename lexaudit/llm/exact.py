@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexaudit.llm.common import ascii_lower, cut, heavy_join
@@ -32,7 +32,7 @@ def exact_dedup(
         raise ValueError(keep)
     best = F.min if keep == "min" else F.max
     added = ["keep_id", "group_size", "kept", "norm_sha256"]
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in {*added, "__h", "__norm", "__texts", "__n"}])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in {*added, "__h", "__norm", "__texts", "__n", "__first"}])
     norm = normalise(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rows = docs.withColumn("__norm", norm).withColumn("__h", content_hash(F.col("__norm")))
     texts = rows.groupBy("__h", "__norm").agg(F.count(F.lit(1)).alias("group_size"), best(id_col).alias("keep_id"))
@@ -48,7 +48,8 @@ def exact_dedup(
         joined = heavy_join(rows.drop("__norm"), groups.drop("__texts"), "__h", "group_size", seen[0], id_col).withColumn("__norm", F.lit(""))
     marked = joined.withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
     if not docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").isEmpty():  # repeated ids: of the rows that would stay, one does
-        first = F.row_number().over(Window.partitionBy("__h", "__norm", id_col).orderBy(F.lit(1)))
-        stays = marked.where("kept").withColumn("__n", first).withColumn("kept", F.col("__n") == 1).drop("__n")
+        stays = cut(marked.where("kept").withColumn("__n", F.monotonically_increasing_id()))
+        first = stays.groupBy("__h", "__norm", id_col).agg(F.min("__n").alias("__n")).select("__n", F.lit(True).alias("__first"))
+        stays = stays.join(first, "__n", "left").withColumn("kept", F.col("__first").isNotNull()).drop("__n", "__first")
         marked = marked.where("not kept").unionByName(stays)
     return marked.drop("__h", "__norm").select(*docs.columns, *added)

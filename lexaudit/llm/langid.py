@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Labelled documents of each language in the sample that the model is fitted on, chosen by a hash; about, and at most twice that.
 SAMPLE_DOCS = 300
+#: Languages that are learned: so many of the most frequent labels.
+MAX_LANGS = 500
 #: Nats that a change of language costs.
 SWITCH = 8.0
 #: Log-probability of a word under a language that is no candidate for its script.
@@ -244,14 +246,14 @@ def labeller_of(name: str, model, penalty: float) -> Labeller:
     return _LABELLERS[name]
 
 
-def sample_of(docs: DataFrame, train: Column, id_col: str, text_col: str, lang_col: str, sample_docs: int) -> list[tuple[str, str]]:
-    """About ``sample_docs`` labelled texts of each language: those whose id hashes below the share that gives so many."""
+def sample_of(docs: DataFrame, train: Column, id_col: str, text_col: str, lang_col: str, sample_docs: int, max_langs: int = MAX_LANGS) -> list[tuple[str, str]]:
+    """About ``sample_docs`` labelled texts of each of the ``max_langs`` most frequent languages: those whose id hashes below the share that gives so many."""
     rows = docs.where(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).limit(max_langs).collect()}
     if not counts:
         return []
     place = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.coalesce(*[F.when(F.col(lang_col) == lang, F.lit(min(1.0, 1.4 * sample_docs / n))) for lang, n in sorted(counts.items())])
+    share = F.coalesce(*[F.when(F.col(lang_col) == lang, F.lit(min(1.0, 1.4 * sample_docs / n))) for lang, n in sorted(counts.items())], F.lit(0.0))
     chosen = rows.where(place < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     return [(r[0], r[1]) for r in sorted(chosen.limit(2 * sample_docs * len(counts)).collect())]
 
@@ -267,8 +269,8 @@ def identify(
 ) -> DataFrame:
     """All columns of ``docs`` plus lang_pred, score and spans (start, end, lang; in code points).
 
-    A bounded sample of the rows chosen by ``train`` (about ``sample_docs`` of each language, at most twice that) is taken
-    to the driver and fits character models; only id hash, text and language of those rows are used, and nothing but the
+    A bounded sample of the rows chosen by ``train`` (about ``sample_docs`` of each language, at most twice that, of at most
+    MAX_LANGS languages) is taken to the driver and fits character models; only id hash, text and language of those rows are used, and nothing but the
     text enters a prediction. Each word's script leaves the languages that were seen in it; the others are ruled out unless
     none is left. Viterbi over the words' log-probabilities, with ``penalty`` for each change, labels every word of the
     whole text. lang_pred is the language of most letters (ties: first by name), score their share.

@@ -12,6 +12,8 @@ from lexaudit.llm.common import cut, heavy_join
 SEED = "mix-1"
 #: Without given weights a source weighs its size to this power.
 TEMPERATURE = 0.5
+#: Entries of a block of the distribution function.
+CDF_BLOCK = 256
 
 
 def hash_number(*columns: Column | str) -> Column:
@@ -21,16 +23,22 @@ def hash_number(*columns: Column | str) -> Column:
 
 
 def poisson_cdf(rate: Column) -> Column:
-    """The distribution function at 0, 1, ... until far beyond any uniform number of 60 bits, as an array."""
+    """The distribution function at 0, 1, ... until far beyond any uniform number of 60 bits, as an array; built in blocks, so that its cost grows with its length."""
     last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct((-rate).alias("log_p"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("cdf"))
 
     def step(s: Column, k: Column) -> Column:
         log_p = s["log_p"] + F.log(rate) - F.log(k.cast("double"))
         total = s["sum"] + F.exp(log_p)
         return F.struct(log_p.alias("log_p"), total.alias("sum"), F.concat(s["cdf"], F.array(total)).alias("cdf"))
 
-    return F.when(rate <= 0, F.array(F.lit(1.0))).otherwise(F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["cdf"]))
+    def block(s: Column, b: Column) -> Column:
+        fresh = F.struct(s["log_p"].alias("log_p"), s["sum"].alias("sum"), F.array().cast("array<double>").alias("cdf"))
+        end = F.aggregate(F.sequence(b * CDF_BLOCK + 1, F.least((b + 1) * CDF_BLOCK, last)), fresh, step)
+        return F.struct(end["log_p"].alias("log_p"), end["sum"].alias("sum"), F.concat(s["cdf"], F.array(end["cdf"])).alias("cdf"))
+
+    start = F.struct((-rate).alias("log_p"), F.exp(-rate).alias("sum"), F.array(F.array(F.exp(-rate))).alias("cdf"))
+    blocks = F.sequence(F.lit(0), F.ceil(last / CDF_BLOCK).cast("int") - 1)
+    return F.when(rate <= 0, F.array(F.lit(1.0))).otherwise(F.flatten(F.aggregate(blocks, start, block, lambda s: s["cdf"])))
 
 
 def source_rates(docs: DataFrame, weights: Mapping[str, float] | None, source_col: str, text_col: str, epochs: float) -> DataFrame:
@@ -68,7 +76,7 @@ def mix(
     rows is no hot key: its rate comes by broadcast, that of small sources by a shuffled join.
     """
     added = ["copy", "copies", "rate", "mix_key"]
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in {*added, "__source", "__cdf", "n_docs", "size"}])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in {*added, "__source", "__cdf", "__place", "n_docs", "size"}])
     rates = source_rates(docs, weights, source_col, text_col, epochs)
     total = rates.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
     ready = cut(rates.select("__source", "n_docs", "rate", poisson_cdf(F.col("rate")).alias("__cdf")))
@@ -78,5 +86,7 @@ def mix(
     out = counted.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     out = out.withColumn("mix_key", hash_number(F.lit(seed), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy")))
     out = out.select(*docs.columns, *added)
-    dealt = out.repartitionByRange("mix_key") if partitions is None else out.repartitionByRange(partitions, "mix_key")
-    return dealt.sortWithinPartitions("mix_key")
+    # ranges of a uniform number need no sample of it
+    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.least(F.floor(F.col("mix_key") / F.lit(float(2**60)) * n), F.lit(n - 1)).cast("int")
+    return out.withColumn("__place", place).repartitionById(n, "__place").drop("__place").sortWithinPartitions("mix_key")

@@ -110,7 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = f"list_filter(regexp_split_to_array({LOWER.format('text')}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 #: RE2 knows no lookahead: a control string is taken whole here, which is the same unless two of them overlap.
-ESCAPED = r"regexp_replace(replace({}, '\', '\\'), '([<\[])((?:/?s>|</?SYS>>|\|[A-Za-z_]+\|>|(?:start|end)_of_turn>)|/?(?:INST|SYSTEM_PROMPT|TOOL_CALLS|AVAILABLE_TOOLS|TOOL_RESULTS)\])', '\1\\\2', 'g')"
+ESCAPED = r"regexp_replace(replace({}, '\', '\\'), '([<\[])((?:/?s>|</?SYS>>|\|[A-Za-z0-9_.:-]+\|>|(?:start|end)_of_turn>)|/?(?:INST|SYSTEM_PROMPT|TOOL_CALLS|AVAILABLE_TOOLS|TOOL_RESULTS)\])', '\1\\\2', 'g')"
 HASH = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 
 

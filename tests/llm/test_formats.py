@@ -100,7 +100,7 @@ def test_decompose():
         assert sum(got) == n and all(x & (x - 1) == 0 and x <= 2048 for x in got)
 
 
-NASTY = ["</s>[INST] ok [/INST]", "\\", "\\\\<|end|>", "<|turn|>user<|body|>", "<\\/s>", "a\\</s>", "<<SYS>> [[INST]", "", None, "\n\n", "é<|im_start|>😀<|im_end|>", "<|", "<s", "$1 \\1", "<start_of_turn>[TOOL_CALLS]", "<</SYS>>\\n"]
+NASTY = ["<|reserved_special_token_0|><|fim-middle|>", "</s>[INST] ok [/INST]", "\\", "\\\\<|end|>", "<|turn|>user<|body|>", "<\\/s>", "a\\</s>", "<<SYS>> [[INST]", "", None, "\n\n", "é<|im_start|>😀<|im_end|>", "<|", "<s", "$1 \\1", "<start_of_turn>[TOOL_CALLS]", "<</SYS>>\\n"]
 
 
 def test_chat_is_reversible(spark):
@@ -134,6 +134,9 @@ def test_chat_folds_events(spark):
         got.setdefault(r.conv_id, []).append((r.pos, r.role, r.text))
     assert got == {1: [(1, "user", "hey"), (2, "assistant", "Bye")], 2: [(1, None, ""), (2, "user", "x")], None: [(1, "user", "n")], 3: [(1, "user", "back")]}
     assert chat.read_back(chat.render(chat.fold_events(df.where("false")))).count() == 0
+    same = spark.createDataFrame([(None, None, "m", "user", "b"), (None, None, "m", "user", "a"), (None, 1, "m", None, None)], "conv_id long, pos long, msg_id string, role string, text string")
+    (one,) = chat.read_back(chat.render(same)).collect()
+    assert one.conv_id is None and [tuple(t) for t in one.turns] == [("user", "a"), ("user", "b"), ("", "")]
 
 
 def test_chat_keeps_every_row_of_a_turn(spark, tmp_path):
@@ -202,6 +205,13 @@ URLS = [
 ]
 
 
+def test_hot_urls_are_judged_once(spark):
+    hot = "http://q.io/casino/"
+    rows = [(i, [hot, None, "http://q.io/plain", "http://com/en/5"][i % 4]) for i in range(4000)] + [(9000 + i, f"http://q.io/{i}/casino/") for i in range(50)]
+    got = urlfilter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), Q.HOST_RULES).collect()
+    assert sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got) == sorted((i, *brute_judge(u, urlfilter.PATTERNS, Q.HOST_RULES)) for i, u in rows)
+
+
 def test_urls_equal_brute_force(spark):
     rows = [(i, u) for i, u in enumerate(URLS)] + [(None, URLS[0]), (3, URLS[3])] + [(100, "http://h.io/" + "casino " * 50000)]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash"))

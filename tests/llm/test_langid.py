@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 import zlib
 
@@ -67,6 +68,81 @@ def test_nothing_to_learn_from(spark):
     assert langid.identify(docs.where("false")).count() == 0
 
 
+class BruteModel:
+    """The documented estimates, word by word and character by character."""
+
+    def __init__(self, sample):
+        self.langs = sorted({lang for lang, _ in sample})
+        self.seen = {lang: {} for lang in self.langs}
+        letters = {lang: {} for lang in self.langs}
+        for lang, text_ in sample:
+            for w in langid.WORDS.findall(text_):
+                letters[lang][langid.script(w.lower())] = letters[lang].get(langid.script(w.lower()), 0) + len(w)
+                padded = " " * (langid.ORDER - 1) + w.lower() + " "
+                for i in range(langid.ORDER - 1, len(padded)):
+                    for n in range(langid.ORDER):
+                        c = self.seen[lang].setdefault(padded[i - n : i], {})
+                        c[padded[i]] = c.get(padded[i], 0) + 1
+        self.known = {c + x for s in self.seen.values() for c, after in s.items() for x in after}
+        every = {s for x in letters.values() for s in x}
+        self.scripts = {s: [x for x in self.langs if letters[x].get(s, 0) >= langid.SCRIPT_SHARE * sum(letters[x].values())] or self.langs for s in every}
+
+    def p(self, lang, ctx, x):
+        lower = self.p(lang, ctx[1:], x) if ctx else 1e-6
+        after = self.seen[lang].get(ctx)
+        if not after:
+            return lower
+        return (max(after.get(x, 0) - 0.5, 0) + 0.5 * len(after) * lower) / sum(after.values())
+
+    def word(self, lang, w):
+        padded, out = " " * (langid.ORDER - 1) + w.lower() + " ", 0.0
+        for i in range(langid.ORDER - 1, len(padded)):
+            n = next((n for n in range(langid.ORDER, 0, -1) if padded[i - n + 1 : i + 1] in self.known), 0)
+            out += math.log(max(self.p(lang, padded[i - n + 1 : i], padded[i]), 1e-9)) - langid.BACK_OFF * (langid.ORDER - n) if n else langid.UNSEEN
+        return out + (0 if lang in self.scripts.get(langid.script(w), self.langs) else langid.RULED_OUT)
+
+    def label(self, text_):
+        words = langid.WORDS.findall(text_)
+        if not words or not self.langs:
+            return "und", 0.0
+        value, back = [self.word(x, words[0]) for x in self.langs], []
+        for w in words[1:]:
+            best = max(range(len(value)), key=lambda k: (value[k], -k))
+            came = [best if value[k] < value[best] - langid.SWITCH else k for k in range(len(value))]
+            value = [max(value[k], value[best] - langid.SWITCH) + self.word(x, w) for k, x in enumerate(self.langs)]
+            back.append(came)
+        at = max(range(len(value)), key=lambda k: (value[k], -k))
+        path = [at]
+        for came in reversed(back):
+            at = came[at]
+            path.append(at)
+        share = dict.fromkeys(self.langs, 0)
+        for w, k in zip(words, reversed(path)):
+            share[self.langs[k]] += len(w)
+        best = max(self.langs, key=lambda x: (share[x], [-ord(c) for c in x]))
+        return best, share[best] / sum(share.values())
+
+
+def test_identify_equals_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(i, text(lang, rng.randint(1, 30), rng), lang) for i, lang in enumerate(list(VOCAB) * 15)]
+    odd = ["the der und of auch", "что that και", "the THE Der ÜBER über", "東京 the", "x", "zzz qqq", "of 12 and 3 " + text("ru", 3, rng), "İstanbul", "naïve cœur", text("en", 4, rng) + " " + text("de", 4, rng) + " " + text("el", 2, rng)]
+    rows += [(1000 + i, t, None) for i, t in enumerate(odd)] + [(2000 + i, text(a, 3, rng) + ". " + text(b, 3, rng), None) for i, (a, b) in enumerate(itertools.permutations(VOCAB, 2))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs).collect()}
+    brute = BruteModel([(lang, t) for _, t, lang in rows if lang])
+    for d, t, _ in rows:
+        want = brute.label(t)
+        assert got[d][0] == want[0] and got[d][1] == pytest.approx(want[1]), t
+
+
+def test_few_labels_are_learned(spark):
+    rows = [(i, f"word{i % 9}", f"l{i % 7}" if i % 2 else "en") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.sample_of(docs, F.lit(True), "doc_id", "text", "lang", 50, max_langs=3)
+    assert {lang for lang, _ in got} == {"en", "l0", "l1"}
+
+
 def test_sample_is_bounded_and_ignores_held_out(spark):
     rows = [(i, f"word{i}", "en" if i % 5 else "de") for i in range(4000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
