@@ -14,6 +14,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexaudit.llm.common import held
+
 #: Labelled documents of each language in the sample that the model is fitted on, chosen by a hash; about, and at most twice that.
 SAMPLE_DOCS = 300
 #: Languages that are learned: so many of the most frequent labels.
@@ -27,7 +29,7 @@ SCRIPT_SHARE = 0.02
 #: Words of a worker's cache of scores; when full it starts anew.
 CACHE_WORDS = 300_000
 #: Words labelled at a time.
-BATCH_WORDS = 600_000
+BATCH_WORDS = 300_000
 ORDER = 4
 #: Log-probability of a character that no language has, and what each character of missing context costs.
 UNSEEN, BACK_OFF = -16.0, 0.9
@@ -235,17 +237,6 @@ class Labeller:
         ]
 
 
-_LABELLERS: dict[str, Labeller] = {}
-
-
-def labeller_of(name: str, model, penalty: float) -> Labeller:
-    """This worker's labeller of a broadcast model, which keeps its cache from task to task."""
-    if name not in _LABELLERS:
-        _LABELLERS.clear()
-        _LABELLERS[name] = Labeller(model.value, penalty)
-    return _LABELLERS[name]
-
-
 def sample_of(docs: DataFrame, train: Column, id_col: str, text_col: str, lang_col: str, sample_docs: int, max_langs: int = MAX_LANGS) -> list[tuple[str, str]]:
     """About ``sample_docs`` labelled texts of each of the ``max_langs`` most frequent languages: those whose id hashes below the share that gives so many."""
     rows = docs.where(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
@@ -286,7 +277,7 @@ def identify(
     kept = docs.schema.names
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = labeller_of(name, model, penalty)
+        labeller = held(name, lambda: Labeller(model.value, penalty))
         for batch in batches:
             texts = batch.column(at).to_pylist()
             begin = size = 0

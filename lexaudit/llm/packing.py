@@ -17,11 +17,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexaudit.llm.common import held
+
 MAX_LENGTH = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Entries of a worker's cache of encoded words; when full, the half of them that was used most stays.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 #: Bytes of text split at a time, and words given to the tokenizer at a time.
 BATCH_BYTES, LEARN_WORDS = 4_000_000, 4096
 #: The split of tokenizers whose words are independent of each other (a fixed value of their files).
@@ -119,17 +121,6 @@ class WordEncoder:
         return ids, np.diff(ends[last], prepend=0)
 
 
-_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
-
-
-def encoder_of(path: str, end_id: int) -> WordEncoder:
-    """This worker's encoder, which keeps its cache from task to task."""
-    if (path, end_id) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path, end_id] = WordEncoder(path, end_id)
-    return _ENCODERS[path, end_id]
-
-
 def decompose(n: int, longest: int) -> list[int]:
     """Lengths of the pieces of ``n`` tokens: the longest power of two as often as it fits, then the binary digits of the rest."""
     rest = n % longest
@@ -162,7 +153,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     kind = docs.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType.simpleString()
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tokenizer_path, end_id)
+        encoder = held((tokenizer_path, end_id), lambda: WordEncoder(tokenizer_path, end_id))
         for batch in batches:
             texts = batch.column(1).cast(pa.large_string())
             for begin, end in slices(texts, BATCH_BYTES):
