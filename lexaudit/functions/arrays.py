@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used and in whatever loop."""
+    return F.transform(F.array(value), use)[0]
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
@@ -48,10 +55,9 @@ def penalised_cosine(a: Column, b: Column) -> Column:
 
 def neighbour_scores(target: Column, others: Column) -> tuple[Column, Column]:
     """Target less mean of others, and that over their population deviation (1 if there is one value or no spread)."""
-    m = mean(others)
-    sd = F.sqrt(total(F.transform(others, lambda x: (x - m) * (x - m))) / F.size(others))
-    d = target - m
-    return d, d / F.when((F.size(others) <= 1) | (sd == 0), F.lit(1.0)).otherwise(sd)
+    sd = once(mean(others), lambda m: F.sqrt(total(F.transform(others, lambda x: (x - m) * (x - m))) / F.size(others)))
+    d = target - mean(others)
+    return d, d / once(sd, lambda s: F.when((F.size(others) <= 1) | (s == 0), F.lit(1.0)).otherwise(s))
 
 
 def kappa(p: Column, pe: Column, floor: float = 1e-3) -> Column:
@@ -59,8 +65,16 @@ def kappa(p: Column, pe: Column, floor: float = 1e-3) -> Column:
 
 
 def count_above_mean(a: Column) -> Column:
-    m = mean(a)
-    return F.size(F.filter(a, lambda x: x > m))
+    return once(mean(a), lambda m: F.size(F.filter(a, lambda x: x > m)))
+
+
+def finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
+def finite_mean(a: Column) -> Column:
+    """Mean of the finite elements; null if there are none."""
+    return mean(F.filter(a, finite))
 
 
 def diversity(tokens: Column) -> Column:

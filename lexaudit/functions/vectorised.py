@@ -1,4 +1,4 @@
-"""What has no built-in form: compressed length, edit distance and common subsequence of tokens, parsing and regularity measures, perturbations."""
+"""What has no built-in form: compressed length, edit distance and common subsequence of tokens, parsing, regularity measures, occurrences, perturbations."""
 
 from __future__ import annotations
 
@@ -61,49 +61,72 @@ def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def phrases(symbols: list[int]) -> int:
-    """Distinct phrases of an incremental (Lempel-Ziv 1978) parse."""
-    seen: set[tuple] = set()
-    current: tuple = ()
+    """Phrases of an incremental (Lempel-Ziv 1978) parse; an unfinished last one does not count."""
+    root: dict = {}
+    node, n = root, 0
     for s in symbols:
-        current += (s,)
-        if current not in seen:
-            seen.add(current)
-            current = ()
-    return len(seen) + bool(current)
+        if s in node:
+            node = node[s]
+        else:
+            node[s] = {}
+            node, n = root, n + 1
+    return n
 
 
-def lz_complexity(bins: int):
-    @F.pandas_udf(DoubleType())
-    def f(values: pd.Series) -> pd.Series:
-        def one(v: np.ndarray) -> float | None:
-            v = np.asarray(v, float)
-            if len(v) <= 5:
-                return None
-            edges = np.linspace(v.min(), v.max(), bins + 1)[1:-1]
-            return phrases(np.digitize(v, edges).tolist()) / len(v)
+#: Fixed value: edges from the smallest value up to 0 of the first of two binnings.
+FINE_EDGES = 100
 
-        return values.map(one)
 
-    return f
+def parse_complexity(values: np.ndarray, bins: int) -> float:
+    """Phrases for each value of log-probabilities, put into fine bins and those into ``bins``; NaN if there are none."""
+    if not len(values):
+        return float("nan")
+    fine = np.searchsorted(np.linspace(values.min(), 0.0, FINE_EDGES), values)
+    coarse = np.searchsorted(np.linspace(fine.min(), fine.max(), bins + 1)[1:], fine)
+    return phrases(coarse.tolist()) / len(values)
 
 
 def approximate_entropy(values: np.ndarray, m: int = 8, r: float = 0.8) -> float:
-    """Regularity of a sequence: log-frequencies of similar windows of m, less those of m + 1; 0 if too short."""
-    n = len(values)
-    if n < m + 2:
-        return 0.0
-
-    def phi(k: int) -> float:
-        w = np.lib.stride_tricks.sliding_window_view(values, k)
-        near = np.array([(np.abs(w - x).max(axis=1) <= r * values.std()).mean() for x in w])
-        return float(np.log(near).mean())
-
-    return phi(m) - phi(m + 1)
+    """How much less often windows of m + 1 values than windows of m have others within r deviations: the difference of the
+    mean logs of those shares, without sign. 0 if there are no more than m + 1 values or no spread.
 
-
-@F.pandas_udf(DoubleType())
-def approximate_entropy_of(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: approximate_entropy(np.asarray(v, float)))
+    Windows are near if all their values are, so nearness of longer windows follows from that of shorter ones.
+    """
+    n, width = len(values), r * float(np.std(values)) if len(values) else 0.0
+    if n <= m + 1 or width == 0:
+        return 0.0
+    close = np.abs(values[:, None] - values[None, :]) <= width
+    near, logs = close, []
+    for k in range(1, m + 1):
+        if k == m:
+            logs.append(np.log(near.mean(axis=0)).mean())
+        near = near[:-1, :-1] & close[k:, k:]
+    logs.append(np.log(near.mean(axis=0)).mean())
+    return float(abs(logs[0] - logs[1]))
+
+
+def occurrences(pattern: np.ndarray, whole: np.ndarray, wanted: int = 3, shortest: int = 3) -> tuple[np.ndarray, int] | None:
+    """First starts in ``whole`` of the longest tail of ``pattern`` that is there ``wanted`` times, and the tail's length.
+
+    The tail's length is the ``wanted``-th largest of the lengths to which the text before a place ends like the pattern.
+    """
+    n = len(pattern)
+    joined = np.concatenate([pattern[::-1], [-1], whole[::-1]]).tolist()
+    same, left, right = [0] * len(joined), 0, 0
+    for i in range(1, len(joined)):
+        k = min(right - i, same[i - left]) if i < right else 0
+        while i + k < len(joined) and joined[k] == joined[i + k]:
+            k += 1
+        same[i] = k
+        if i + k > right:
+            left, right = i, i + k
+    ends = np.array(same[n + 1 :][::-1])  # of the text up to and with each place
+    if len(ends) < wanted:
+        return None
+    length = min(n, int(np.sort(ends)[-wanted]))
+    if length < shortest:
+        return None
+    return np.flatnonzero(ends >= length)[:wanted] - length + 1, length
 
 
 def swapped(text: str, key: str, share: float = 0.3) -> str:

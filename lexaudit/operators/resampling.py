@@ -8,8 +8,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from lexaudit.operators.evaluate import auc
+from lexaudit.operators.running import running_max, running_totals
+from lexaudit.storage import settle
 
 
 def draw(*parts: Column) -> Column:
@@ -18,33 +24,34 @@ def draw(*parts: Column) -> Column:
 
 
 def numbered(rows: DataFrame, by: Sequence[str], order: str) -> DataFrame:
-    """Adds i, the place of a row in its group from 0. Groups are evaluation cells, whose size is that of a benchmark leaf."""
-    return rows.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
+    """Adds i, the place of a row in its group from 0 in ``order``, a column that is distinct in a group. By a number no group is sorted in one task; names, of the few clusters of a benchmark, are."""
+    if isinstance(rows.schema[order].dataType, StringType):
+        return rows.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
+    placed = running_totals(rows.withColumn("__one", F.lit(1)), by, order, ["__one"])
+    return placed.withColumn("i", F.col("__one_before").cast("int")).drop("__one", "__one_before")
 
 
 def resampled(rows: DataFrame, by: Sequence[str], order: str, rounds: int, seed: str) -> DataFrame:
-    """rows drawn with replacement, as many as each group has, ``rounds`` times: all columns and b."""
-    placed = numbered(rows, by, order)
+    """rows drawn with replacement, as many as each group has, ``rounds`` times: all columns, b and times (how often the row was drawn)."""
+    placed = settle(numbered(rows, by, order))
     sizes = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("size"))
     slots = placed.select(*by, F.col("i").alias("slot")).join(sizes, list(by)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    picks = slots.withColumn("i", F.pmod(draw(F.lit(seed), F.concat_ws("/", *by), F.col("b"), F.col("slot")), F.col("size")).cast("int")).select(*by, "b", "i")
+    pick = F.pmod(draw(F.lit(seed), F.concat_ws("/", *by), F.col("b"), F.col("slot")), F.col("size")).cast("int")
+    picks = slots.select(*by, "b", pick.alias("i")).groupBy(*by, "b", "i").agg(F.count(F.lit(1)).alias("times"))
     return picks.join(placed, [*by, "i"]).drop("i")
 
 
-def rank_auc(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """AUC of many small groups at once, by mean ranks."""
-    w = Window.partitionBy(*by).orderBy("score")
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, "score"))
-    ranked = rows.withColumn("r", F.rank().over(w) + (ties - 1) / 2.0)
-    p, n = F.count_if("member"), F.count_if(~F.col("member"))
-    total = F.sum(F.when(F.col("member"), F.col("r")).otherwise(0.0))
-    return ranked.groupBy(*by).agg(F.try_divide(total - p * (p + 1) / 2.0, (p * n).cast("double")).alias("auc"))
+def weighted_auc(drawn: DataFrame, by: Sequence[str], score: str = "score") -> DataFrame:
+    """by, auc of rows that count ``times`` each, by tallies of distinct scores."""
+    times = lambda c: F.sum(F.when(c, F.col("times")).otherwise(0))
+    tallied = drawn.groupBy(*by, F.col(score).cast("double").alias("score")).agg(times(F.col("member")).alias("pos"), times(~F.col("member")).alias("neg"))
+    return auc(tallied, by).select(*by, "auc")
 
 
 def bootstrap_interval(rows: DataFrame, by: Sequence[str], order: str, rounds: int, seed: str, level: float = 0.95) -> DataFrame:
     """by, lo, hi: percentile interval of the AUC; members and non-members are drawn separately."""
     drawn = resampled(rows.withColumn("__side", F.col("member").cast("string")), [*by, "__side"], order, rounds, seed)
-    values = rank_auc(drawn, [*by, "b"])
+    values = weighted_auc(drawn, [*by, "b"])
     tail = (1 - level) / 2
     return values.groupBy(*by).agg(F.percentile("auc", tail).alias("lo"), F.percentile("auc", 1 - tail).alias("hi"))
 
@@ -52,9 +59,8 @@ def bootstrap_interval(rows: DataFrame, by: Sequence[str], order: str, rounds: i
 def paired_interval(rows: DataFrame, by: Sequence[str], order: str, rounds: int, seed: str) -> DataFrame:
     """by, delta, lo, hi, p for two scores (score_a, score_b) of the same rows, drawn alike; p two-sided with one added to both counts. Null where a side is empty."""
     drawn = resampled(rows.withColumn("__side", F.col("member").cast("string")), [*by, "__side"], order, rounds, seed)
-    one = lambda df, keys, s: rank_auc(df.withColumn("score", F.col(s)), keys)
-    keys = [*by, "b"]
-    both = one(drawn, keys, "score_a").withColumnRenamed("auc", "x").join(one(drawn, keys, "score_b").withColumnRenamed("auc", "y"), keys).withColumn("d", F.col("x") - F.col("y"))
+    drawn, keys = settle(drawn), [*by, "b"]
+    both = weighted_auc(drawn, keys, "score_a").withColumnRenamed("auc", "x").join(weighted_auc(drawn, keys, "score_b").withColumnRenamed("auc", "y"), keys).withColumn("d", F.col("x") - F.col("y"))
     low, high = (F.count_if(c) + 1 for c in (F.col("d") <= 0, F.col("d") >= 0))
     return both.groupBy(*by).agg(F.avg("d").alias("delta"), F.percentile("d", 0.025).alias("lo"), F.percentile("d", 0.975).alias("hi"), F.when(F.count("d") > 0, F.least(2 * F.least(low, high) / (F.count("d") + 1), F.lit(1.0))).alias("p"))
 
@@ -62,7 +68,7 @@ def paired_interval(rows: DataFrame, by: Sequence[str], order: str, rounds: int,
 def cluster_interval(values: DataFrame, order: str, value: str, rounds: int, seed: str) -> DataFrame:
     """mean, lo, hi of a mean over clusters (one row each), clusters drawn with replacement."""
     drawn = resampled(values.withColumn("__all", F.lit("all")), ["__all"], order, rounds, seed)
-    means = drawn.groupBy("b").agg(F.avg(value).alias("m"))
+    means = drawn.groupBy("b").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("m"))
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
 
 
@@ -71,23 +77,71 @@ def classify(lo: Column, hi: Column, margin: float = 0.05) -> Column:
 
 
 def holm(tests: DataFrame, key: str, p: str) -> DataFrame:
-    """Adds p_holm: step-down corrected values, never falling, 1 at most. ``tests`` is a table of tests, one row each."""
-    order = Window.orderBy(p, key)
-    n = F.count(F.lit(1)).over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    stepped = tests.withColumn("__s", F.least((n - F.row_number().over(order) + 1) * F.col(p), F.lit(1.0)))
-    return stepped.withColumn("p_holm", F.max("__s").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__s")
-
-
-def wilcoxon(pairs: DataFrame, by: Sequence[str], difference: str) -> DataFrame:
-    """by, n, w, z: signed rank sum of the positive differences, zeros left out, ties by mean ranks; normal approximation."""
-    rows = pairs.where(F.col(difference) != 0).withColumn("__a", F.abs(difference))
-    ranked = rows.withColumn("__r", F.rank().over(Window.partitionBy(*by).orderBy("__a")) + (F.count(F.lit(1)).over(Window.partitionBy(*by, "__a")) - 1) / 2.0)
-    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(difference) > 0, F.col("__r")).otherwise(0.0)).alias("w"), F.sum(F.col("__r") * F.col("__r")).alias("__v"))
-    return out.select(*by, "n", "w", F.try_divide(F.col("w") - F.col("n") * (F.col("n") + 1) / 4.0, F.sqrt(F.col("__v") / 4.0)).alias("z"))
-
-
-def normal_p(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2))
+    """Adds p_holm: step-down corrected values, never falling, 1 at most. Equal p share the smallest rank, which gives the same largest value."""
+    # one row for each p: how many tests have it and how many a smaller one
+    values = tests.groupBy(F.col(p).cast("double").alias("__p")).agg(F.count(F.lit(1)).alias("__c"))
+    before = running_totals(values, [], "__p", ["__c"])
+    n = values.agg(F.sum("__c").alias("__n"))
+    stepped = before.crossJoin(n).withColumn("__s", F.least((F.col("__n") - F.col("__c_before")) * F.col("__p"), F.lit(1.0)))
+    corrected = running_max(stepped, "__p", "__s", "p_holm").select("__p", "p_holm")
+    return tests.join(corrected, F.col(p).cast("double") == F.col("__p"), "left").drop("__p")
+
+
+#: Pairs up to which the rank test's p is exact, if no two differences tie.
+EXACT_PAIRS = 50
+
+
+def rank_test_p(n: int, w: float, variance: float, ties: bool, side: str = "two-sided") -> float:
+    """p of a signed rank sum: exact for few pairs without ties, else by the normal approximation."""
+    if n < 1:
+        return float("nan")
+    if n <= EXACT_PAIRS and not ties:
+        ways = [1]
+        for k in range(1, n + 1):
+            ways = [(ways[s] if s < len(ways) else 0) + (ways[s - k] if 0 <= s - k < len(ways) else 0) for s in range(len(ways) + k)]
+        above = sum(ways[math.ceil(w) :]) / 2**n
+        below = sum(ways[: math.floor(w) + 1]) / 2**n
+        return above if side == "greater" else min(1.0, 2 * min(above, below))
+    if variance <= 0:
+        return float("nan")
+    z = (w - n * (n + 1) / 4) / math.sqrt(variance)
+    return math.erfc(z / math.sqrt(2)) / 2 if side == "greater" else math.erfc(abs(z) / math.sqrt(2))
+
+
+def wilcoxon(pairs: DataFrame, by: Sequence[str], difference: str, side: str = "two-sided") -> DataFrame:
+    """by, n, w, z, p: signed rank sum of the positive differences, zeros left out, ties by mean ranks.
+
+    z by the normal approximation; p two-sided, or one-sided (``greater``), exact for up to EXACT_PAIRS pairs without ties
+    or zeros. Ranks come from tallies of distinct absolute differences.
+    """
+    d = F.col(difference).cast("double")
+    tallied = pairs.where(d != 0).groupBy(*by, F.abs(d).alias("__a")).agg(F.count(F.lit(1)).alias("c"), F.count_if(d > 0).alias("up"))
+    ranked = running_totals(tallied, by, "__a", ["c"]).withColumn("r", F.col("c_before") + (F.col("c") + 1) / 2.0)
+    out = ranked.groupBy(*by).agg(F.sum("c").alias("n"), F.sum(F.col("up") * F.col("r")).alias("w"), (F.sum(F.col("c") * F.col("r") * F.col("r")) / 4.0).alias("v"), (F.max("c") > 1).alias("ties"))
+    zeros = pairs.groupBy(*by).agg((F.count_if(d == 0) > 0).alias("zeros"))
+    out = out.join(zeros, list(by)) if by else out.crossJoin(zeros)
+
+    @F.pandas_udf("double")
+    def p_of(n: pd.Series, w: pd.Series, v: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series([rank_test_p(int(a), b, c, t, side) for a, b, c, t in zip(n, w, v, ties)])
+
+    z = F.try_divide(F.col("w") - F.col("n") * (F.col("n") + 1) / 4.0, F.sqrt("v"))
+    return out.select(*by, "n", "w", z.alias("z"), p_of("n", "w", "v", F.col("ties") | F.col("zeros")).alias("p"))
+
+
+def direction_counts(draws: DataFrame, method: str, group: str, unit: str, value: str, levels: Sequence[float] = (0.95, 0.99)) -> DataFrame:
+    """method, level, inflated, degraded, n: groups whose interval of the mean over their units lies above 0 or below.
+
+    ``draws``: method, group, unit, b and value; units of a group share a draw, so they are averaged draw by draw first.
+    """
+    means = draws.groupBy(method, group, "b").agg(F.avg(value).alias("m"))
+    out = None
+    for level in levels:
+        tail = (1 - level) / 2
+        ends = means.groupBy(method, group).agg(F.percentile("m", tail).alias("lo"), F.percentile("m", 1 - tail).alias("hi"))
+        rows = ends.groupBy(method).agg(F.lit(level).alias("level"), F.count_if(F.col("lo") > 0).alias("inflated"), F.count_if(F.col("hi") < 0).alias("degraded"), F.count(F.lit(1)).alias("n"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def nested_subsets(rows: DataFrame, key: str, shares: Sequence[float], seeds: int) -> DataFrame:

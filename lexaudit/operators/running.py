@@ -28,3 +28,14 @@ def running_totals(df: DataFrame, by: Sequence[str], order: str, values: Sequenc
         same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
     out = local.join(sums, same)
     return out.select(*df.columns, *[(F.col(f"__in_{v}") + F.col(f"__{v}")).alias(f"{v}_before") for v in values])
+
+
+def running_max(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """Adds ``name``: the largest ``value`` of the rows up to each in ``order`` (distinct); as above, in ranges and on top of them."""
+    cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), [(i + 1) / RANGES for i in range(RANGES - 1)], 10_000).alias("__cuts"))
+    dealt = df.crossJoin(F.broadcast(cuts)).withColumn("__range", F.size(F.filter(F.coalesce("__cuts", F.array()), lambda c: c < F.col(order)))).drop("__cuts")
+    ahead = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    tops = dealt.groupBy("__range").agg(F.max(value).alias("__top")).withColumn("__ahead", F.max("__top").over(ahead)).drop("__top")
+    inside = Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.withColumn("__in", F.max(value).over(inside)).join(tops, "__range")
+    return out.select(*df.columns, F.greatest("__in", "__ahead").alias(name))

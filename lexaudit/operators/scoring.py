@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from collections.abc import Sequence
+from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexaudit.functions import arrays as A
 from lexaudit.functions.text import words
 
+#: Log-probabilities of the stand-in scorer are multiples of 1/GRID, so that their sums are exact in any order.
+GRID = float(1 << 20)
+#: Words up to which a vocabulary is broadcast, as 16 bytes each; a larger one is joined.
+MAX_VOCABULARY = 4_000_000
+
 
 class TokenScorer(Protocol):
     """From (id, w) to (id, ids, lp, mu, sigma); sigma is a variance."""
@@ -29,6 +35,69 @@ class RecordedScorer:
         return self.table.join(tokens.select("id"), "id", "left_semi")
 
 
+class Frequencies:
+    """Counts (tok, c) of a corpus as add-one frequencies of token arrays.
+
+    A vocabulary up to ``most`` words is broadcast by 64-bit hash, so a table of token arrays is looked up row by row,
+    without a shuffle and without a hot word; a larger one is joined to exploded tokens.
+    """
+
+    def __init__(self, counts: DataFrame, most: int = MAX_VOCABULARY) -> None:
+        self.counts = counts
+        n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+        self.n, self.v, self.fits = n, v, v <= most
+        if self.fits:
+            table = counts.select(F.xxhash64("tok").alias("h"), "c").toArrow()
+            h, c = (table.column(k).to_numpy() for k in ("h", "c"))
+            order = np.argsort(h)
+            self.shared = counts.sparkSession.sparkContext.broadcast((h[order], c[order].astype(np.float64)))
+
+    @property
+    def unseen(self) -> float:
+        """log frequency of a word that is not there."""
+        return float(-np.log(self.n + self.v)) if self.n else 0.0
+
+    def moments(self) -> tuple[float, float]:
+        """Mean and variance of the log frequency under the frequencies."""
+        if not self.fits:
+            lp = F.round(F.log((F.col("c") + 1) / F.lit(float(self.n + self.v))) * GRID) / GRID
+            mu, square = self.counts.agg(F.sum(F.exp(lp) * lp), F.sum(F.exp(lp) * lp * lp)).first()
+            return mu, square - mu * mu
+        lp = np.rint(np.log((self.shared.value[1] + 1) / max(self.n + self.v, 1)) * GRID) / GRID
+        mu = float((np.exp(lp) * lp).sum())
+        return mu, float((np.exp(lp) * lp * lp).sum()) - mu * mu
+
+    def _look_up(self):
+        shared, size = self.shared, max(self.n + self.v, 1)
+
+        def look_up(hashes: np.ndarray) -> np.ndarray:
+            h, c = shared.value
+            if not len(h):
+                return np.full(len(hashes), -np.log(size))
+            at = np.minimum(np.searchsorted(h, hashes), len(h) - 1)
+            return np.log((np.where(h[at] == hashes, c[at], 0.0) + 1) / size)
+
+        return look_up
+
+    def log_frequencies(self, tokens: DataFrame) -> DataFrame:
+        """tokens (id, w) with lp, the log frequency of each token, to 1/GRID; ids are distinct."""
+        if not self.fits:
+            logs = self.counts.select("tok", F.log((F.col("c") + 1) / F.lit(float(self.n + self.v))).alias("lp"))
+            rows = tokens.select("id", F.posexplode("w").alias("pos", "tok")).join(logs, "tok", "left")
+            lp = F.round(F.coalesce("lp", F.lit(self.unseen)) * GRID) / GRID
+            packed = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", lp.alias("lp")))).alias("t"))
+            return tokens.join(packed, "id", "left").withColumn("lp", F.coalesce(F.col("t.lp"), F.array().cast("array<double>"))).drop("t")
+        look_up = self._look_up()
+
+        @F.pandas_udf("array<double>")
+        def logs_of(hashes: pd.Series) -> pd.Series:
+            sizes = hashes.map(len).to_numpy()
+            flat = look_up(np.concatenate([np.asarray(x, np.int64) for x in hashes])) if len(hashes) else np.empty(0)
+            return pd.Series(np.split(np.rint(flat * GRID) / GRID, np.cumsum(sizes)[:-1]))
+
+        return tokens.withColumn("lp", logs_of(F.transform(F.coalesce("w", F.array().cast("array<string>")), lambda t: F.xxhash64(t))))
+
+
 @dataclass
 class UnigramScorer:
     """Add-one unigram statistics of a corpus. A stand-in that exercises every formula; it says nothing about membership."""
@@ -36,15 +105,10 @@ class UnigramScorer:
     counts: DataFrame  # tok, c
 
     def score(self, tokens: DataFrame) -> DataFrame:
-        sizes = self.counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"))
-        logs = self.counts.crossJoin(F.broadcast(sizes)).select("tok", F.log((F.col("c") + 1) / (F.col("n") + F.col("v"))).alias("lp"))
-        p = F.exp("lp")
-        moments = logs.agg(F.sum(p * F.col("lp")).alias("mu"), (F.sum(p * F.col("lp") * F.col("lp")) - F.pow(F.sum(p * F.col("lp")), 2)).alias("sigma"))
-        rest = sizes.select(F.log(1 / (F.col("n") + F.col("v"))).alias("unseen"))
-        rows = tokens.select("id", F.posexplode("w").alias("pos", "tok")).join(logs, "tok", "left").crossJoin(F.broadcast(rest)).crossJoin(F.broadcast(moments))
-        packed = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "tok", F.coalesce("lp", "unseen").alias("lp")))).alias("t"), F.first("mu").alias("mu"), F.first("sigma").alias("sigma"))
-        flat = lambda c: F.transform("t", lambda x: F.col(c))
-        return packed.select("id", F.col("t.tok").alias("ids"), F.col("t.lp").alias("lp"), flat("mu").alias("mu"), flat("sigma").alias("sigma"))
+        frequencies = Frequencies(self.counts)
+        mu, sigma = frequencies.moments()
+        flat = lambda x: F.array_repeat(F.lit(x), F.size("w"))
+        return frequencies.log_frequencies(tokens.select("id", "w")).select("id", F.col("w").alias("ids"), "lp", flat(mu).alias("mu"), flat(sigma).alias("sigma"))
 
 
 def token_counts(tokens: DataFrame, first: int | None = None) -> DataFrame:
@@ -57,56 +121,28 @@ def tokens_of(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), words(text).alias("w"))
 
 
-def calibrated_frequency(stats: DataFrame, counts: DataFrame, ceiling: float = 0.01) -> DataFrame:
-    """id, dcpdd: over first occurrences of each token, the mean of p * ln(1 / f), ``ceiling`` at most; f is the add-one frequency."""
-    sizes = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"))
-    first = stats.select("id", F.explode(F.arrays_zip("ids", "lp")).alias("x")).groupBy("id", F.col("x.ids").alias("tok")).agg(F.max("x.lp").alias("lp"))
-    f = (F.coalesce("c", F.lit(0)) + 1) / (F.col("n") + F.col("v"))
-    joined = first.join(counts, "tok", "left").crossJoin(F.broadcast(sizes))
-    return joined.groupBy("id").agg(F.avg(F.least(F.exp("lp") * F.log(1 / f), F.lit(ceiling))).alias("dcpdd"))
-
-
-@dataclass
-class ScoreMethod:
-    """A named projection of token statistics; higher means more likely a member."""
-
-    name: str
-    columns: dict[str, Callable[[], Column]]
-    aliases: tuple[str, ...] = ()
-
-    def apply(self, stats: DataFrame) -> DataFrame:
-        return stats.select("id", *[f().alias(c) for c, f in self.columns.items()])
-
-
-@dataclass
-class Registry:
-    methods: dict[str, ScoreMethod] = field(default_factory=dict)
-
-    def add(self, method: ScoreMethod) -> None:
-        for name in (method.name, *method.aliases):
-            self.methods[name.lower().replace("-", "_")] = method
-
-    def resolve(self, names: list[str]) -> list[ScoreMethod]:
-        """Methods of the names or aliases, each once, in order; an unknown name raises."""
-        found = []
-        for n in names:
-            m = self.methods[n.lower().replace("-", "_")]
-            if m not in found:
-                found.append(m)
-        return found
-
-    def apply(self, names: list[str], stats: DataFrame) -> DataFrame:
-        """Long form: id, method, score_name, score."""
-        out = None
-        for m in self.resolve(names):
-            wide = m.apply(stats)
-            rows = wide.select("id", F.lit(m.name).alias("method"), F.explode(F.map_from_arrays(F.array(*map(F.lit, m.columns)), F.array(*[F.col(c).cast("double") for c in m.columns]))).alias("score_name", "score"))
-            out = rows if out is None else out.unionByName(rows)
-        return out
-
-
-METHODS = Registry()
-METHODS.add(ScoreMethod("loss", {"loss": lambda: A.mean(F.col("lp"))}, ("loss_zlib_lowercase",)))
-METHODS.add(ScoreMethod("minkprob", {"mink": lambda: A.min_k(F.col("lp")), "minkpp": lambda: A.min_k_plus(F.col("lp"), F.col("mu"), F.col("sigma"))}, ("mink", "min-k")))
-METHODS.add(ScoreMethod("pac", {"polarised": lambda: A.polarised(F.col("lp"))}))
-METHODS.add(ScoreMethod("diversity", {"diversity": lambda: A.diversity(F.col("ids"))}))
+def calibrated_frequency(stats: DataFrame, counts: DataFrame, ceilings: Sequence[float] = (0.01,)) -> DataFrame:
+    """id, ceiling, dcpdd: over first occurrences of each token, the mean of p * ln(1 / f), ``ceiling`` at most; f is the add-one frequency.
+
+    All ceilings are swept over the same tokens. Records without tokens have no row.
+    """
+    first = F.transform(F.array_distinct("ids"), lambda t: F.struct(t.alias("tok"), F.get(F.col("lp"), F.array_position("ids", t).cast("int") - 1).alias("lp")))
+    if not Frequencies(counts).fits:
+        n, v = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
+        rows = stats.select("id", F.explode(first).alias("x")).select("id", "x.*").join(counts, "tok", "left")
+        value = F.exp("lp") * F.log(F.lit(float(n + v)) / (F.coalesce("c", F.lit(0)) + 1))
+        return rows.withColumn("ceiling", F.explode(F.array(*map(F.lit, ceilings)))).groupBy("id", "ceiling").agg(F.avg(F.least(value, F.col("ceiling"))).alias("dcpdd"))
+    look_up = Frequencies(counts)._look_up()
+
+    @F.pandas_udf("array<double>")
+    def swept(hashes: pd.Series, lps: pd.Series) -> pd.Series:
+        out = []
+        for h, lp in zip(hashes, lps):
+            h, at = np.unique(np.asarray(h, np.int64), return_index=True)
+            value = np.exp(np.asarray(lp, float)[at]) * -look_up(h)
+            out.append([float(np.minimum(value, c).mean()) for c in ceilings])
+        return pd.Series(out)
+
+    rows = stats.where(F.size("ids") > 0).select("id", swept(F.transform("ids", lambda t: F.xxhash64(t)), F.col("lp")).alias("s"))
+    pairs = F.explode(F.arrays_zip(F.array(*map(F.lit, ceilings)).alias("ceiling"), F.col("s").alias("dcpdd")))
+    return rows.select("id", pairs.alias("x")).select("id", "x.ceiling", "x.dcpdd")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,15 +40,16 @@ def sample_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", T.sample_id(given, F.col("doc_id")).alias("sample_id"))
 
 
-KIND_SQL = "CASE " + " ".join(f"WHEN contains(lower(path), '{n}') THEN '{k}'" for n, k in T.PATH_KINDS) + " END"
+PATHS = "CASE page_id % 7 WHEN 0 THEN 'Benchmark_DEV/dpo_x.jsonl' WHEN 1 THEN 'a/PreTraining/x' WHEN 2 THEN 'midtraining_dpo/y' WHEN 3 THEN 'PostTraining/dpo_chosen' WHEN 4 THEN 'posttraining/DPO/z' WHEN 5 THEN 'posttraining/sft_' || page_id ELSE 'other' END"
 
 
-@query(f"""WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'a/GSM8K_test.jsonl' WHEN 1 THEN 'Benchmark/dpo_x' WHEN 2 THEN url ELSE 'starcoder/' || url END AS path FROM pages)
-SELECT page_id, {KIND_SQL} AS kind FROM p""")
+@query(f"""WITH p AS (SELECT page_id, lower({PATHS}) AS low FROM pages)
+SELECT page_id, CASE WHEN contains(low, 'benchmark_dev') OR contains(low, 'pretraining') OR contains(low, 'midtraining') OR contains(low, 'chosen') OR contains(low, 'rejected') THEN 'paragraph'
+WHEN contains(low, 'dpo') THEN 'dpo' WHEN contains(low, 'posttraining') THEN 'paragraph' END AS kind, CASE WHEN page_id % 3 = 0 THEN 'auto' WHEN page_id % 3 = 1 THEN 'qa' ELSE 'other' END AS given FROM p""")
 def dataset_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.col("page_id") % 4
-    path = F.when(p == 0, F.lit("a/GSM8K_test.jsonl")).when(p == 1, F.lit("Benchmark/dpo_x")).when(p == 2, F.col("url")).otherwise(F.concat(F.lit("starcoder/"), F.col("url")))
-    return read_table(spark, sf_dir, "pages").select("page_id", T.kind_of_path(path).alias("kind"))
+    """Kind of data by path (null without a rule) and a given kind, normalised."""
+    given = F.when(F.col("page_id") % 3 == 0, "  ").when(F.col("page_id") % 3 == 1, " QA\t").otherwise("Other")
+    return read_table(spark, sf_dir, "pages").select("page_id", T.kind_of_path(F.expr(PATHS)).alias("kind"), T.normal_kind(given).alias("given"))
 
 
 @query(r"""SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unknown') AS name,
@@ -65,14 +64,22 @@ def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", T.text_key(F.col("text")).alias("key"))
 
 
-QA = "'Question: ' || c_name || chr(10) || CASE WHEN c_custkey % 4 > 0 THEN 'Answer: ' || c_mktsegment ELSE '' END"
+QA = """CASE c_custkey % 5 WHEN 0 THEN 'Question: ' || c_name || chr(10) || 'Reasoning: because' || chr(10) || 'Answer: ' || c_mktsegment WHEN 1 THEN 'Question: ' || c_name || ' with Answer: inline' || chr(10) || 'Answer: ' || c_mktsegment
+WHEN 2 THEN 'no marks ' || c_name WHEN 3 THEN 'Question:   ' || c_name ELSE 'Answer: ' || c_mktsegment END"""
+KIND = "CASE c_custkey % 3 WHEN 0 THEN 'qa' WHEN 1 THEN 'auto' ELSE 'paragraph' END"
 
 
-@query(rf"""WITH t AS (SELECT c_custkey, {QA} AS x FROM customer)
-SELECT c_custkey, nullif(trim(regexp_extract(x, '(?s)Question:(.*?)(?:Answer:|$)', 1), ' ' || chr(10)), '') AS question, nullif(trim(regexp_extract(x, '(?s)Answer:(.*)$', 1), ' ' || chr(10)), '') AS answer FROM t""")
+@query(f"""WITH t AS (SELECT c_custkey, c_custkey % 5 AS k, c_name AS n, c_mktsegment AS m, {QA} AS x, {KIND} AS kind, c_custkey % 7 = 0 AS given FROM customer)
+SELECT c_custkey, CASE WHEN kind = 'paragraph' THEN x WHEN given THEN 'given' WHEN k IN (0, 3) THEN n WHEN k = 1 THEN n || ' with Answer: inline' WHEN kind = 'auto' THEN x END AS question,
+CASE WHEN kind = 'paragraph' THEN x WHEN k IN (0, 4) THEN m WHEN k = 1 THEN 'inline' || chr(10) || 'Answer: ' || m WHEN kind = 'auto' THEN x END AS answer,
+CASE WHEN k = 0 THEN 'ask ' || n WHEN k <> 4 THEN x END AS critique FROM t""")
 def question_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.concat(F.lit("Question: "), F.col("c_name"), F.lit("\n"), F.when(F.col("c_custkey") % 4 > 0, F.concat(F.lit("Answer: "), F.col("c_mktsegment"))).otherwise(F.lit("")))
-    return read_table(spark, sf_dir, "customer").select("c_custkey", T.question_of(x).alias("question"), T.answer_of(x).alias("answer"))
+    """Questions and answers by the kind of data and a given field, and what a critique asks: of preference data (here every fifth row) the prompt."""
+    x, kind = F.expr(QA), F.expr(KIND)
+    given = F.when(F.col("c_custkey") % 7 == 0, F.lit(" given "))
+    prompt = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("ask "), "c_name"))
+    asked = T.critique_question(prompt, x, F.when(F.col("c_custkey") % 5 == 0, "dpo").when(F.col("c_custkey") % 5 == 4, "dpo").otherwise("qa"))
+    return read_table(spark, sf_dir, "customer").select("c_custkey", T.question_of(x, given, kind).alias("question"), T.answer_of(x, None, kind).alias("answer"), asked.alias("critique"))
 
 
 @query("""SELECT event_id, CASE WHEN isnan(x) THEN NULL WHEN x = 'inf'::DOUBLE THEN 'Infinity' WHEN x = '-inf'::DOUBLE THEN '-Infinity' ELSE 'finite' END AS encoded
@@ -186,12 +193,12 @@ def token_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.token_counts(tokens(spark, sf_dir))
 
 
-@query(f"WITH {COUNTS}, f AS (SELECT tok, count(*) AS c FROM (SELECT unnest(w[1:50]) AS tok FROM t) GROUP BY tok) SELECT tok, c, round((c + 1) / ((SELECT sum(c) FROM f) + (SELECT count(*) FROM f)), 12)::DOUBLE AS p FROM f")
+@query(f"WITH {COUNTS}, f AS (SELECT tok, count(*) AS c FROM (SELECT unnest(w[1:4096]) AS tok FROM t) GROUP BY tok) SELECT tok, c, round((c + 1) / ((SELECT sum(c) FROM f) + (SELECT count(*) FROM f)), 12)::DOUBLE AS p FROM f")
 def laplace_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frequencies from the first 50 tokens of each document (the truncation is the feature)."""
-    counts = scoring.token_counts(tokens(spark, sf_dir), first=50)
+    """Frequencies from the first 4096 tokens of each document (the truncation is the feature)."""
+    counts = scoring.token_counts(tokens(spark, sf_dir), first=4096)
     sizes = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"))
-    return counts.crossJoin(F.broadcast(sizes)).select("tok", "c", F.round((F.col("c") + 1) / (F.col("n") + F.col("v")), 12).alias("p"))
+    return counts.crossJoin(sizes).select("tok", "c", F.round((F.col("c") + 1) / (F.col("n") + F.col("v")), 12).alias("p"))
 
 
 @query(f"""WITH {COUNTS}, a AS (SELECT tok, count(*) AS n FROM (SELECT unnest(w) AS tok FROM t WHERE source = 'src0') GROUP BY tok)
@@ -232,10 +239,11 @@ def quiz_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("n_nationkey", "slot", F.when(F.col("slot") == F.col("letter"), "original").otherwise(F.concat(F.lit("option "), F.col("slot"))).alias("shown"))
 
 
-@query("SELECT c_custkey, 'first ' || c_name AS a, CASE WHEN c_custkey % 2 = 0 THEN 'late' ELSE 'early' END AS b, '' AS d FROM customer")
+@query("SELECT c_custkey, 'first ' || c_name AS a, CASE WHEN c_custkey % 2 = 0 THEN 'late' ELSE 'early' || chr(10) || 'two lines' END AS b, CASE WHEN c_custkey % 3 = 0 THEN 'xB) and inline' ELSE '' END AS d FROM customer")
 def option_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of a letter given twice the last counts; a missing one is empty."""
-    text = F.concat(F.lit("A) first "), F.col("c_name"), F.lit("\nB) early\n"), F.when(F.col("c_custkey") % 2 == 0, "B) late\n").otherwise(""))
+    """Of a letter given twice the last counts; a missing one is empty; options may stand in bold and in one line, but not inside a word."""
+    inline = F.when(F.col("c_custkey") % 3 == 0, " **D)** xB) and inline").otherwise("")
+    text = F.concat(F.lit("A) first "), F.col("c_name"), F.lit("\nB)\nearly\ntwo lines\n"), F.when(F.col("c_custkey") % 2 == 0, "**B)** late\n").otherwise(""), inline)
     rows = read_table(spark, sf_dir, "customer").select("c_custkey", T.options(text).alias("o"))
     return rows.select("c_custkey", F.col("o")["A"].alias("a"), F.col("o")["B"].alias("b"), F.col("o")["D"].alias("d"))
 
@@ -248,9 +256,31 @@ def perturbations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", V.swap_words("text", key).alias("swapped"), V.mask_spans("text", key).alias("masked"), V.split_randomly("text", key).alias("split"))
 
 
+MODELS = {"small": {"s0": 1, "s1": 2}, "large": {"s1": 3, "s2": 1}}
+TAGGED = rf"""WITH q AS (SELECT doc_id AS id, {TOKENS} AS w FROM documents), b AS (SELECT 's' || (item_id % 3) AS source, {TOKENS} AS w FROM benchmark),
+c AS (SELECT source, CASE WHEN source = 's1' THEN list_concat([chr(9601) || w[1]], w[2:]) ELSE w END AS w FROM b WHERE len(w) > 0),
+cg AS (SELECT DISTINCT source, array_to_string(w[i:i+12], ' ') AS g FROM (SELECT source, w, unnest(generate_series(1, len(w) - 12)) AS i FROM c WHERE len(w) >= 13)),
+qg AS (SELECT id, array_to_string(w[i:i+12], ' ') AS g, CASE WHEN NOT regexp_full_match(w[i], '\p{{Nd}}+') THEN chr(9601) END AS mark FROM (SELECT id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM q WHERE len(w) >= 13)),
+o AS (SELECT id, avg((g IN (SELECT g FROM cg WHERE source IN ('s0', 's1')) OR coalesce(mark || g IN (SELECT g FROM cg WHERE source IN ('s1')), false))::INT) AS small,
+avg((g IN (SELECT g FROM cg WHERE source IN ('s1', 's2')) OR coalesce(mark || g IN (SELECT g FROM cg WHERE source IN ('s1', 's2')), false))::INT) AS large FROM qg GROUP BY id),
+a AS (SELECT * FROM o UNION ALL SELECT id, 1.0, 1.0 FROM q WHERE len(w) < 13)
+"""
+
+
+@query(TAGGED + "SELECT id, round(small, 9) AS small, round(large, 9) AS large, greatest(small, large) < 0.2 AS kept FROM a")
+def ngram13_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlap with each model's sources, first-token variants included; a text stays if it is below the cut for every model. Source s1 marks its texts' first words, s0 is searched as text."""
+    b = read_table(spark, sf_dir, "benchmark").select(F.concat(F.lit("s"), F.col("item_id") % 3).alias("source"), F.col("item_id").alias("id"), T.words(F.col("text")).alias("w"))
+    marked = F.when(F.col("source") == "s1", F.concat(F.array(F.concat(F.lit(C.WORD_MARK), F.get("w", F.lit(0)))), F.slice("w", F.lit(2), F.size("w")))).otherwise(F.col("w"))
+    corpora = b.where(F.size("w") > 0).select("source", "id", marked.alias("w"))
+    o = C.overlap_of_models(tokens(spark, sf_dir), corpora, MODELS, raw=["s0"])
+    kept = C.kept_by_all(o, list(MODELS)).select("id", F.lit(True).alias("kept"))
+    return o.join(kept, "id", "left").select("id", F.round("small", 9).alias("small"), F.round("large", 9).alias("large"), F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
 @query()
 def annealed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items chosen to match the tokens of the items' own second half; a bounded pool, several restarts."""
-    pool = tokens(spark, sf_dir, "benchmark", "item_id")
-    target = Counter({r.tok: r.c for r in scoring.token_counts(pool.where("id % 2 = 1")).collect()})
-    return C.matched_sample(pool, target, 15, steps=300)
+    """Benchmark items that match the tokens of the benchmark's shorter half, half as many as there are, in several restarts (the target of a sample is given; here it is made from the table)."""
+    items = tokens(spark, sf_dir, "benchmark", "item_id")
+    half = items.agg(F.percentile_approx(F.size("w"), 0.5).alias("half"))
+    return C.matched_sample(items, items.crossJoin(half).where(F.size("w") <= F.col("half")).drop("half"), margin=250)

@@ -80,19 +80,38 @@ def macro_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BEST = """, t AS (SELECT held_out, score, count_if(member) AS p, count_if(NOT member) AS n FROM r GROUP BY ALL),
-c AS (SELECT held_out, score, (sum(p) OVER w + sum(n) OVER (PARTITION BY held_out) - sum(n) OVER w) / (sum(p) OVER (PARTITION BY held_out) + sum(n) OVER (PARTITION BY held_out)) AS acc FROM t WINDOW w AS (PARTITION BY held_out ORDER BY score DESC)),
-b AS (SELECT held_out, score AS threshold, acc AS accuracy FROM (SELECT *, row_number() OVER (PARTITION BY held_out ORDER BY acc DESC, score DESC) AS k FROM c) WHERE k = 1)
+c AS (SELECT held_out, score, lead(score) OVER w AS below, (sum(p) OVER w + sum(n) OVER (PARTITION BY held_out) - sum(n) OVER w) / (sum(p) OVER (PARTITION BY held_out) + sum(n) OVER (PARTITION BY held_out)) AS acc FROM t WINDOW w AS (PARTITION BY held_out ORDER BY score DESC)),
+a AS (SELECT held_out, score, below, acc, 0 AS none FROM c UNION ALL SELECT held_out, 0, NULL, sum(n) / (sum(p) + sum(n)), 1 FROM t GROUP BY held_out),
+b AS (SELECT held_out, CASE WHEN none = 1 THEN 'inf'::DOUBLE WHEN below IS NULL THEN '-inf'::DOUBLE ELSE (score + below) / 2 END AS threshold, acc AS accuracy FROM (SELECT *, row_number() OVER (PARTITION BY held_out ORDER BY acc DESC, none DESC, score DESC) AS k FROM a) WHERE k = 1)
 """
+SHOWN = "CASE WHEN isinf(threshold) THEN NULL ELSE threshold END AS threshold, CASE WHEN threshold = 'inf'::DOUBLE THEN 'none' WHEN threshold = '-inf'::DOUBLE THEN 'all' ELSE 'some' END AS members"
 
 
-@query(S + ", r AS (SELECT lang AS held_out, member, score FROM s)" + BEST + "SELECT held_out AS lang, threshold, round(accuracy, 9) AS accuracy FROM b")
+def shown(name: str = "threshold") -> list:
+    """A threshold, null if it is infinite, and whom it makes members."""
+    t, inf = F.col(name), float("inf")
+    return [F.when(F.abs(t) < inf, t).alias(name), F.when(t == inf, "none").when(t == -inf, "all").otherwise("some").alias("members")]
+
+
+@query(S + ", r AS (SELECT lang AS held_out, member, score FROM s UNION ALL SELECT 'flipped', NOT member, score FROM s)" + BEST + f"SELECT held_out AS lang, {SHOWN}, round(accuracy, 9) AS accuracy FROM b")
 def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.best_threshold(E.tally(scores(spark, sf_dir), ["lang"]), ["lang"]).select("lang", "threshold", F.round("accuracy", 9).alias("accuracy"))
+    """Thresholds between scores or beyond all, by language; and of all with members and non-members exchanged."""
+    rows = scores(spark, sf_dir).select("lang", "member", "score")
+    rows = rows.unionByName(rows.select(F.lit("flipped").alias("lang"), (~F.col("member")).alias("member"), "score"))
+    return E.best_threshold(E.tally(rows, ["lang"]), ["lang"]).select("lang", *shown(), F.round("accuracy", 9).alias("accuracy"))
+
+
+@query(S + """, t AS (SELECT lang, score, count_if(member) AS p, count_if(NOT member) AS n FROM s GROUP BY ALL),
+c AS (SELECT lang, score, (sum(p) OVER (PARTITION BY lang) - sum(p) OVER w + sum(n) OVER w) / (sum(p) OVER (PARTITION BY lang) + sum(n) OVER (PARTITION BY lang)) AS acc FROM t WINDOW w AS (PARTITION BY lang ORDER BY score))
+SELECT lang, score AS threshold, round(acc, 9) AS accuracy FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY acc DESC, score) AS k FROM c) WHERE k = 1""")
+def best_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other rule: cuts at scores, members strictly above."""
+    return E.best_cut(E.tally(scores(spark, sf_dir), ["lang"]), ["lang"]).select("lang", "threshold", F.round("accuracy", 9).alias("accuracy"))
 
 
-@query(S + ", f AS (SELECT DISTINCT source AS held_out FROM s), r AS (SELECT held_out, member, score FROM s JOIN f ON source <> held_out)" + BEST + "SELECT held_out, threshold, round(avg(((score >= threshold) = member)::INT), 9) AS accuracy, count(*) AS n FROM b JOIN s ON source = held_out GROUP BY held_out, threshold")
+@query(S + ", f AS (SELECT DISTINCT source AS held_out FROM s), r AS (SELECT held_out, member, score FROM s JOIN f ON source <> held_out)" + BEST + f"SELECT held_out, {SHOWN}, accuracy, n FROM (SELECT held_out, threshold, round(avg(((score >= threshold) = member)::INT), 9) AS accuracy, count(*) AS n FROM b JOIN s ON source = held_out GROUP BY held_out, threshold)")
 def lodo_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.leave_one_out_accuracy(scores(spark, sf_dir), "source").select("held_out", "threshold", F.round("accuracy", 9).alias("accuracy"), "n")
+    return E.leave_one_out_accuracy(scores(spark, sf_dir), "source").select("held_out", *shown(), F.round("accuracy", 9).alias("accuracy"), "n")
 
 
 @query(S + f", g AS (SELECT k, member, score % k AS score FROM s, (SELECT unnest([7, 50, 400, 3000]) AS k)), a AS ({auc_sql('g', 'k')}) SELECT k, round(auc, 9) AS auc FROM a ORDER BY a.auc DESC, k LIMIT 1")
@@ -102,37 +121,38 @@ def grid_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.grid_best(grid, ["k"]).select("k", F.round("auc", 9).alias("auc"))
 
 
-ROUNDS = 100
+#: Rounds of the instance, paired and cluster bootstrap.
+ROUNDS, PAIRED_ROUNDS, CLUSTER_ROUNDS = 2000, 1000, 10_000
 DRAW = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 BOOT = f""", n AS (SELECT *, row_number() OVER (PARTITION BY {{by}}, member ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY {{by}}, member) AS size FROM s),
-k AS (SELECT {{by}}, member, b, {DRAW.format("'{seed}:' || {name} || '/' || CASE WHEN member THEN 'true' ELSE 'false' END || ':' || b || ':' || i")} % size AS i FROM n, (SELECT unnest(range({ROUNDS})) AS b)),
+k AS (SELECT {{by}}, member, b, {DRAW.format("'{seed}:' || {name} || '/' || CASE WHEN member THEN 'true' ELSE 'false' END || ':' || b || ':' || i")} % size AS i FROM n, (SELECT unnest(range({{rounds}})) AS b)),
 d AS (SELECT k.b, n.* FROM k JOIN n ON n.{{by}} = k.{{by}} AND n.member = k.member AND n.i = k.i)
 """
 
 
-def boot(by: str, name: str, seed: str) -> str:
-    return BOOT.replace("{by}", by).replace("{name}", name).replace("{seed}", seed)
+def boot(by: str, name: str, seed: str, rounds: int) -> str:
+    return BOOT.replace("{by}", by).replace("{name}", name).replace("{seed}", seed).replace("{rounds}", str(rounds))
 
 
-@query(S + boot("lang", "lang", "ci") + f", a AS ({auc_sql('d', 'lang, b')}) SELECT lang, round(quantile_cont(auc, 0.025), 6) AS lo, round(quantile_cont(auc, 0.975), 6) AS hi FROM a GROUP BY lang")
+@query(S + boot("lang", "lang", "ci", ROUNDS) + f", a AS ({auc_sql('d', 'lang, b')}) SELECT lang, round(quantile_cont(auc, 0.025), 6) AS lo, round(quantile_cont(auc, 0.975), 6) AS hi FROM a GROUP BY lang")
 def bootstrap_auc_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = R.bootstrap_interval(scores(spark, sf_dir), ["lang"], "doc_id", ROUNDS, "ci")
     return out.select("lang", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
-@query(S + boot("lang", "lang", "pair") + f""", a AS ({auc_sql('d', 'lang, b')}), c AS ({auc_sql('d', 'lang, b', 'other')}), z AS (SELECT lang, a.auc - c.auc AS d FROM a JOIN c USING (lang, b))
+@query(S + boot("lang", "lang", "pair", PAIRED_ROUNDS) + f""", a AS ({auc_sql('d', 'lang, b')}), c AS ({auc_sql('d', 'lang, b', 'other')}), z AS (SELECT lang, a.auc - c.auc AS d FROM a JOIN c USING (lang, b))
 SELECT lang, round(avg(d), 6) AS delta, round(quantile_cont(d, 0.025), 6) AS lo, round(quantile_cont(d, 0.975), 6) AS hi, CASE WHEN count(d) > 0 THEN round(least(2 * least(count_if(d <= 0) + 1, count_if(d >= 0) + 1) / (count(d) + 1), 1), 6) END AS p FROM z GROUP BY lang""")
 def paired_delta_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scores(spark, sf_dir).select("doc_id", "lang", "member", F.col("score").alias("score_a"), F.col("other").alias("score_b"))
-    return R.paired_interval(rows, ["lang"], "doc_id", ROUNDS, "pair").select("lang", *[F.round(c, 6).alias(c) for c in ("delta", "lo", "hi", "p")])
+    return R.paired_interval(rows, ["lang"], "doc_id", PAIRED_ROUNDS, "pair").select("lang", *[F.round(c, 6).alias(c) for c in ("delta", "lo", "hi", "p")])
 
 
 @query(S + f""", a AS ({auc_sql('s', 'source')}), n AS (SELECT source, auc, row_number() OVER (ORDER BY source) - 1 AS i, count(*) OVER () AS size FROM a WHERE auc IS NOT NULL),
-k AS (SELECT b, {DRAW.format("'cl:all:' || b || ':' || i")} % size AS i FROM n, (SELECT unnest(range({ROUNDS})) AS b)), m AS (SELECT b, avg(auc) AS m FROM k JOIN n USING (i) GROUP BY b)
+k AS (SELECT b, {DRAW.format("'cl:all:' || b || ':' || i")} % size AS i FROM n, (SELECT unnest(range({CLUSTER_ROUNDS})) AS b)), m AS (SELECT b, avg(auc) AS m FROM k JOIN n USING (i) GROUP BY b)
 SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, CASE WHEN quantile_cont(m, 0.975) - 0.5 < 0 THEN 'degraded' WHEN quantile_cont(m, 0.025) - 0.5 > 0 THEN 'inflated' WHEN quantile_cont(m, 0.025) - 0.5 > -0.05 AND quantile_cont(m, 0.975) - 0.5 < 0.05 THEN 'robust' ELSE 'inconclusive' END AS verdict FROM m""")
 def cluster_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = E.auc(E.tally(scores(spark, sf_dir), ["source"]), ["source"]).where("auc is not null")
-    out = R.cluster_interval(cells, "source", "auc", ROUNDS, "cl")
+    out = R.cluster_interval(cells, "source", "auc", CLUSTER_ROUNDS, "cl")
     return out.select(*[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")], R.classify(F.col("lo") - 0.5, F.col("hi") - 0.5).alias("verdict"))
 
 
@@ -216,14 +236,17 @@ def excluded_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "nation").join(F.broadcast(gone), "n_nationkey", "left_anti").select("n_nationkey", "n_name")
 
 
-@query(S + f", a AS ({auc_sql('s', 'lang, source')}) SELECT source, round(max(auc) FILTER (lang = 'en'), 6) AS en, round(max(auc) FILTER (lang = 'fr'), 6) AS fr, round(avg(auc), 6) AS mean FROM a GROUP BY source")
+LANGS = ("de", "en", "es", "fr")
+
+
+@query(S + f", a AS ({auc_sql('s', 'lang, source')}) SELECT source, {', '.join(f"round(max(auc) FILTER (lang = '{x}'), 6) AS {x}" for x in LANGS)}, round(avg(auc), 6) AS mean FROM a GROUP BY source")
 def report_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report table: one row for each source, languages as columns, mean over those that have a value."""
     by = ["lang", "source"]
     cells = E.auc(E.tally(scores(spark, sf_dir), by), by)
-    wide = cells.groupBy("source").pivot("lang", ["en", "fr"]).agg(F.max("auc"))
+    wide = reports.wide(cells, ["source"], "lang", LANGS, "auc")
     means = cells.groupBy("source").agg(F.avg("auc").alias("mean"))
-    return wide.join(means, "source").select("source", *[F.round(c, 6).alias(c) for c in ("en", "fr", "mean")])
+    return wide.join(means, "source").select("source", *[F.round(c, 6).alias(c) for c in (*LANGS, "mean")])
 
 
 @query("""WITH j AS (SELECT r_name, n_name, size FROM nation JOIN region ON n_regionkey = r_regionkey, (SELECT unnest([1, 7, 13, 32]) AS size) WHERE NOT (r_name = 'ASIA' AND size = 32))
@@ -270,8 +293,80 @@ def reuse_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 HALF = DRAW.format("'half:' || doc_id") + " % 2"
 
 
-@query(S + f", r AS (SELECT ({HALF})::VARCHAR AS held_out, member, score FROM s)" + BEST + f"SELECT (1 - held_out::INT)::VARCHAR AS judged, threshold, round(avg(((s.score >= threshold) = member)::INT), 9) AS accuracy FROM b JOIN s ON ({HALF}) = 1 - held_out::INT GROUP BY ALL")
+@query(S + f", r AS (SELECT ({HALF})::VARCHAR AS held_out, member, score FROM s)" + BEST + f"SELECT judged, {SHOWN}, accuracy FROM (SELECT (1 - held_out::INT)::VARCHAR AS judged, threshold, round(avg(((s.score >= threshold) = member)::INT), 9) AS accuracy FROM b JOIN s ON ({HALF}) = 1 - held_out::INT GROUP BY ALL)")
 def two_fold_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Halves by a hash; each is judged by the other's best threshold."""
     rows = scores(spark, sf_dir).withColumn("half", F.pmod(R.draw(F.lit("half"), F.col("doc_id")), F.lit(2)).cast("string"))
-    return E.leave_one_out_accuracy(rows, "half").select(F.col("held_out").alias("judged"), "threshold", F.round("accuracy", 9).alias("accuracy"))
+    return E.leave_one_out_accuracy(rows, "half").select(F.col("held_out").alias("judged"), *shown(), F.round("accuracy", 9).alias("accuracy"))
+
+
+#: Cells of a report: every language a stage, every source a domain with two subsets, score variants as methods and sizes.
+CELLS = S + f""", v AS (SELECT lang AS stage, source AS domain, source || '_' || (doc_id % 2) AS subset, member, 'length' AS method, '1b' AS size, score AS x FROM s UNION ALL SELECT lang, source, source || '_' || (doc_id % 2), member, 'length', '7b', score % 400 FROM s
+UNION ALL SELECT lang, source, source || '_' || (doc_id % 2), member, 'line', '1b', other FROM s), a AS ({auc_sql('v', 'stage, domain, subset, method, size', 'x')}),
+d AS (SELECT method, size, stage, domain, avg(auc) AS v, bool_and(auc IS NOT NULL) AS c FROM a GROUP BY ALL), g AS (SELECT method, size, stage, avg(v) AS v, bool_and(c) AS c FROM d GROUP BY ALL),
+w AS (SELECT method, size, stage AS scope, v, c FROM g UNION ALL SELECT method, size, 'all', avg(v), bool_and(c) FROM g GROUP BY ALL)
+"""
+
+
+def report_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """setting, method, size, stage, domain, subset, value, complete, supervised."""
+    s = scores(spark, sf_dir).select(F.col("lang").alias("stage"), F.col("source").alias("domain"), F.concat("source", F.lit("_"), (F.col("doc_id") % 2).cast("string")).alias("subset"), "member", "score", "other")
+    kinds = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(z).alias("size"), x.cast("double").alias("score")) for m, z, x in (("length", "1b", F.col("score")), ("length", "7b", F.col("score") % 400), ("line", "1b", F.col("other")))])
+    rows = s.select("stage", "domain", "subset", "member", F.explode(kinds).alias("k")).select("stage", "domain", "subset", "member", "k.*")
+    by = ["stage", "domain", "subset", "method", "size"]
+    return E.auc(E.tally(rows, by), by).select(F.lit("matched").alias("setting"), *by, F.col("auc").alias("value"), F.col("auc").isNotNull().alias("complete"), F.lit(False).alias("supervised"))
+
+
+@query(CELLS + """, m AS (SELECT method, size, scope, v, c FROM w UNION ALL SELECT method, 'Model-Avg', scope, avg(v), bool_and(c) FROM w WHERE v IS NOT NULL GROUP BY method, scope),
+e AS (SELECT method AS "row", size || ' | ' || scope AS "column", v, c FROM m WHERE v IS NOT NULL UNION ALL SELECT 'Method-Avg', size || ' | ' || scope, avg(v), bool_and(c) FROM m WHERE v IS NOT NULL GROUP BY ALL)
+SELECT "row", "column", round(v, 6) AS value, c AS complete, "row" <> 'Method-Avg' AND v = max(v) FILTER ("row" <> 'Method-Avg') OVER (PARTITION BY "column") AS best FROM e""")
+def report_unsupervised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main table in long form: methods by sizes and scopes, with means over both, the best of a column marked."""
+    return reports.long_table(report_cells(spark, sf_dir), "unsupervised").select("row", "column", F.round("value", 6).alias("value"), "complete", "best")
+
+
+@query(CELLS + """, z AS (SELECT method, subset, avg(auc) AS v FROM a WHERE auc IS NOT NULL GROUP BY ALL) SELECT method, round(avg(v) FILTER (subset IN ('src0_0', 'src1_1')), 6) AS inside, round(avg(v) FILTER (subset NOT IN ('src0_0', 'src1_1')), 6) AS outside FROM z GROUP BY method HAVING count_if(subset IN ('src0_0', 'src1_1')) = 2""")
+def subset_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stated subsets against the others, means over sizes first."""
+    return reports.contrast(report_cells(spark, sf_dir), "method", ["src0_0", "src1_1"]).select("method", F.round("inside", 6).alias("inside"), F.round("outside", 6).alias("outside"))
+
+
+@query(S + f""", z AS (SELECT lang, source, k, member, score % k AS score FROM s, (SELECT unnest([400, 3000]) AS k)), x AS (SELECT * FROM z UNION ALL SELECT lang, NULL, k, member, score FROM z UNION ALL SELECT NULL, NULL, k, member, score FROM z),
+a AS ({auc_sql('x', 'lang, source, k')}) SELECT lang, source, round(avg(auc), 6) AS auc, count(auc) AS sizes FROM a GROUP BY lang, source HAVING count(auc) > 0""")
+def pooled_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instances pooled in every scope, then averaged over sizes (here moduli of the score)."""
+    rows = scores(spark, sf_dir).withColumn("k", F.explode(F.array(F.lit(400), F.lit(3000)))).withColumn("score", F.col("score") % F.col("k"))
+    return E.pooled_scopes(rows, ["lang", "source"], "k").select("lang", "source", F.round("auc", 6).alias("auc"), "sizes")
+
+
+@query(S + f""", z AS (SELECT lang, source, CASE WHEN source = 'src1' THEN 5.0 WHEN source = 'src2' AND member THEN 1e6 + score ELSE score END AS score, member FROM s), a AS ({auc_sql('z', 'source')}),
+d AS (SELECT source, bool_or(c) AS constant FROM (SELECT source, member, stddev_pop(score) < 1e-6 OR count(DISTINCT round(score, 6)) <= 2 AS c FROM z GROUP BY source, member) GROUP BY source)
+SELECT source, round(auc, 6) AS auc, auc <= 0.03 OR auc >= 0.97 AS extreme, constant FROM a JOIN d USING (source)""")
+def score_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with an AUC next to 0 or 1, or with constant scores on a side."""
+    score = F.when(F.col("source") == "src1", 5.0).when((F.col("source") == "src2") & F.col("member"), F.col("score") + 1e6).otherwise(F.col("score"))
+    out = E.audit(scores(spark, sf_dir).select("source", "member", score.alias("score")), ["source"])
+    return out.select("source", F.round("auc", 6).alias("auc"), "extreme", "constant")
+
+
+@query("""WITH v AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'NaN' WHEN 1 THEN 'Infinity' WHEN 2 THEN '-Infinity' WHEN 3 THEN 'x' WHEN 4 THEN NULL ELSE value::VARCHAR END AS s FROM events)
+SELECT event_id, event_id % 6 IN (1, 5) AS released, event_id % 6 IN (1, 2, 5) AS reported, event_id % 6 = 5 AS finite FROM v""")
+def score_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rules of what a score is: as released files are read, as tables read them, and finite."""
+    k = F.col("event_id") % 6
+    s = F.when(k == 0, "NaN").when(k == 1, "Infinity").when(k == 2, "-Infinity").when(k == 3, "x").when(k == 5, F.col("value").cast("string"))
+    finite = F.coalesce(E.valid(s.try_cast("double")), F.lit(False))
+    return read_table(spark, sf_dir, "events").select("event_id", F.coalesce(E.valid_text(s), F.lit(False)).alias("released"), F.coalesce(E.valid_text(s, True), F.lit(False)).alias("reported"), finite.alias("finite"))
+
+
+SPAN = f"(({DRAW.format("'dir:' || s_suppkey || ':' || b")} % 2001) - 1000) / 1000.0 + CASE s_nationkey % 3 WHEN 0 THEN 3.0 WHEN 1 THEN -3.0 ELSE 0.0 END"
+
+
+@query(f"""WITH d AS (SELECT 'm' || (s_suppkey % 2) AS method, s_nationkey, b, avg({SPAN}) AS m FROM supplier, (SELECT unnest(range(200)) AS b) GROUP BY ALL),
+e AS (SELECT method, s_nationkey, quantile_cont(m, 0.025) AS l95, quantile_cont(m, 0.975) AS h95, quantile_cont(m, 0.005) AS l99, quantile_cont(m, 0.995) AS h99 FROM d GROUP BY ALL)
+SELECT method, 0.95::DOUBLE AS level, count_if(l95 > 0) AS inflated, count_if(h95 < 0) AS degraded, count(*) AS n FROM e GROUP BY method UNION ALL SELECT method, 0.99::DOUBLE, count_if(l99 > 0), count_if(h99 < 0), count(*) FROM e GROUP BY method""")
+def direction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups whose interval lies above 0, and below, by method and level."""
+    rows = read_table(spark, sf_dir, "supplier").select(F.concat(F.lit("m"), (F.col("s_suppkey") % 2).cast("string")).alias("method"), "s_nationkey", "s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("b"))
+    moved = (R.draw(F.lit("dir"), F.col("s_suppkey"), F.col("b")) % 2001 - 1000) / F.lit(1000.0) + F.when(F.col("s_nationkey") % 3 == 0, 3.0).when(F.col("s_nationkey") % 3 == 1, -3.0).otherwise(0.0)
+    return R.direction_counts(rows.withColumn("v", moved), "method", "s_nationkey", "s_suppkey", "v")

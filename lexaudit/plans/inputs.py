@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lexaudit.functions.text import words
 from lexaudit.operators import scoring
 from lexaudit.sources.tables import read_table
-from lexaudit.storage import settle
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,18 +18,18 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, sf_dir: str, table: str = "documents", key: str = "doc_id") -> DataFrame:
-    """id, w: lower-cased words, materialised, as n-grams use them often."""
-    return settle(scoring.tokens_of(read_table(spark, sf_dir, table), key, F.col("text")))
+    """id, w: lower-cased words."""
+    return scoring.tokens_of(read_table(spark, sf_dir, table), key, F.col("text"))
 
 
 def unigram_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, ids, lp, mu, sigma under the documents' own add-one unigram frequencies."""
+    """id, ids, lp, mu, sigma under the documents' own add-one unigram frequencies; documents without words have no row."""
     t = tokens(spark, sf_dir).where(F.size("w") > 0)
-    return settle(scoring.UnigramScorer(scoring.token_counts(t)).score(t))
+    return scoring.UnigramScorer(scoring.token_counts(t)).score(t)
 
 
 def lowered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, w, low: case-keeping words and lower-cased words."""
     text = F.col("text")
     kept = F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    return settle(read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), kept.alias("w"), words(text).alias("low")))
+    return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), kept.alias("w"), words(text).alias("low"))
