@@ -111,7 +111,7 @@ def occurrences(pattern: np.ndarray, whole: np.ndarray, wanted: int = 3, shortes
     The tail's length is the ``wanted``-th largest of the lengths to which the text before a place ends like the pattern.
     """
     n = len(pattern)
-    joined = np.concatenate([pattern[::-1], [-1], whole[::-1]]).tolist()
+    joined = [*pattern[::-1].tolist(), None, *whole[::-1].tolist()]
     same, left, right = [0] * len(joined), 0, 0
     for i in range(1, len(joined)):
         k = min(right - i, same[i - left]) if i < right else 0

@@ -7,8 +7,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from hashlib import md5
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -48,19 +51,62 @@ def weighted_auc(drawn: DataFrame, by: Sequence[str], score: str = "score") -> D
     return auc(tallied, by).select(*by, "auc")
 
 
+#: Rows of an evaluation cell up to which its scores travel as one array, and rounds computed at a time.
+CELL_ROWS, CELL_ROUNDS = 100_000, 25
+
+
+def drawn_aucs(rows: DataFrame, by: Sequence[str], order: str, rounds: int, seed: str, score_cols: Sequence[str]) -> DataFrame:
+    """by, b and an AUC for each of ``score_cols`` (under its name), null if a side is empty: members and non-members drawn separately, alike for all scores.
+
+    Cells of up to CELL_ROWS rows, which are benchmark leaves, are arrays, and rounds are dealt over tasks; larger ones go
+    through tallies of drawn rows. Draws are the same in both.
+    """
+    rows = rows.select(*by, order, "member", F.col("member").cast("string").alias("__side"), *[F.col(c).cast("double").alias(c) for c in score_cols]).where("member is not null")
+    largest = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > CELL_ROWS:
+        drawn, keys, out = settle(resampled(rows, [*by, "__side"], order, rounds, seed)), [*by, "b"], None
+        for c in score_cols:
+            cells = weighted_auc(drawn, keys, c).withColumnRenamed("auc", c)
+            out = cells if out is None else out.join(cells, keys)
+        return out
+    packed = numbered(rows, [*by, "__side"], order).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("member", "i", *score_cols))).alias("rows"))
+    chunks = packed.select(*by, F.concat_ws("/", *by).alias("__name"), "rows", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1), F.lit(CELL_ROUNDS))).alias("__first"))
+
+    @F.arrow_udf("array<array<double>>")
+    def aucs(names: pa.Array, cells: pa.Array, firsts: pa.Array) -> pa.Array:
+        out = []
+        for name, cell, first in zip(names.to_pylist(), cells, firsts.to_pylist()):
+            table = cell.values
+            member = table.field("member").to_numpy(zero_copy_only=False)
+            values = [table.field(c).to_numpy(zero_copy_only=False) for c in score_cols]
+            codes = [np.unique(v, return_inverse=True) for v in values]
+            sides = [(f"{seed}:{name + '/' if name else ''}{side}:", np.flatnonzero(member == flag)) for side, flag in (("true", True), ("false", False))]
+            got = []
+            for b in range(first, min(first + CELL_ROUNDS, rounds)):
+                picked = [at[[int(md5(f"{text}{b}:{k}".encode()).hexdigest()[:8], 16) % len(at) for k in range(len(at))]] if len(at) else at for text, at in sides]
+                line = []
+                for kinds, code in codes:
+                    pos, neg = (np.bincount(code[x], minlength=len(kinds)) for x in picked)
+                    pairs = float(pos.sum()) * float(neg.sum())
+                    line.append(float((pos * (np.cumsum(neg) - neg / 2)).sum()) / pairs if pairs else None)
+                got.append(line)
+            out.append(got)
+        return pa.array(out, pa.list_(pa.list_(pa.float64())))
+
+    rounds_of = chunks.repartition(F.xxhash64(*by, "__first") if by else F.col("__first")).select(*by, "__first", F.posexplode(aucs("__name", "rows", "__first")).alias("__k", "__v"))
+    return rounds_of.select(*by, (F.col("__first") + F.col("__k")).alias("b"), *[F.col("__v")[k].alias(c) for k, c in enumerate(score_cols)])
+
+
 def bootstrap_interval(rows: DataFrame, by: Sequence[str], order: str, rounds: int, seed: str, level: float = 0.95) -> DataFrame:
     """by, lo, hi: percentile interval of the AUC; members and non-members are drawn separately."""
-    drawn = resampled(rows.withColumn("__side", F.col("member").cast("string")), [*by, "__side"], order, rounds, seed)
-    values = weighted_auc(drawn, [*by, "b"])
     tail = (1 - level) / 2
-    return values.groupBy(*by).agg(F.percentile("auc", tail).alias("lo"), F.percentile("auc", 1 - tail).alias("hi"))
+    values = drawn_aucs(rows, by, order, rounds, seed, ["score"])
+    return values.groupBy(*by).agg(F.percentile("score", tail).alias("lo"), F.percentile("score", 1 - tail).alias("hi"))
 
 
 def paired_interval(rows: DataFrame, by: Sequence[str], order: str, rounds: int, seed: str) -> DataFrame:
     """by, delta, lo, hi, p for two scores (score_a, score_b) of the same rows, drawn alike; p two-sided with one added to both counts. Null where a side is empty."""
-    drawn = resampled(rows.withColumn("__side", F.col("member").cast("string")), [*by, "__side"], order, rounds, seed)
-    drawn, keys = settle(drawn), [*by, "b"]
-    both = weighted_auc(drawn, keys, "score_a").withColumnRenamed("auc", "x").join(weighted_auc(drawn, keys, "score_b").withColumnRenamed("auc", "y"), keys).withColumn("d", F.col("x") - F.col("y"))
+    both = drawn_aucs(rows, by, order, rounds, seed, ["score_a", "score_b"]).withColumn("d", F.col("score_a") - F.col("score_b"))
     low, high = (F.count_if(c) + 1 for c in (F.col("d") <= 0, F.col("d") >= 0))
     return both.groupBy(*by).agg(F.avg("d").alias("delta"), F.percentile("d", 0.025).alias("lo"), F.percentile("d", 0.975).alias("hi"), F.when(F.count("d") > 0, F.least(2 * F.least(low, high) / (F.count("d") + 1), F.lit(1.0))).alias("p"))
 

@@ -7,11 +7,12 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexaudit.functions.text import words
+from lexaudit.storage import settle
 
 #: Log-probabilities of the stand-in scorer are multiples of 1/GRID, so that their sums are exact in any order.
 GRID = float(1 << 20)
@@ -43,11 +44,11 @@ class Frequencies:
     """
 
     def __init__(self, counts: DataFrame, most: int = MAX_VOCABULARY) -> None:
-        self.counts = counts
-        n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+        self.counts = settle(counts)  # counted once for all that follows
+        n, v = self.counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
         self.n, self.v, self.fits = n, v, v <= most
         if self.fits:
-            table = counts.select(F.xxhash64("tok").alias("h"), "c").toArrow()
+            table = self.counts.select(F.xxhash64("tok").alias("h"), "c").toArrow()
             h, c = (table.column(k).to_numpy() for k in ("h", "c"))
             order = np.argsort(h)
             self.shared = counts.sparkSession.sparkContext.broadcast((h[order], c[order].astype(np.float64)))
@@ -89,23 +90,27 @@ class Frequencies:
             return tokens.join(packed, "id", "left").withColumn("lp", F.coalesce(F.col("t.lp"), F.array().cast("array<double>"))).drop("t")
         look_up = self._look_up()
 
-        @F.pandas_udf("array<double>")
-        def logs_of(hashes: pd.Series) -> pd.Series:
-            sizes = hashes.map(len).to_numpy()
-            flat = look_up(np.concatenate([np.asarray(x, np.int64) for x in hashes])) if len(hashes) else np.empty(0)
-            return pd.Series(np.split(np.rint(flat * GRID) / GRID, np.cumsum(sizes)[:-1]))
+        @F.arrow_udf("array<double>")
+        def logs_of(hashes: pa.Array) -> pa.Array:
+            logs = np.rint(look_up(hashes.flatten().to_numpy()) * GRID) / GRID
+            return pa.ListArray.from_arrays(pa.array(offsets_of(hashes), pa.int32()), pa.array(logs))
 
         return tokens.withColumn("lp", logs_of(F.transform(F.coalesce("w", F.array().cast("array<string>")), lambda t: F.xxhash64(t))))
 
 
+def offsets_of(lists: pa.Array) -> np.ndarray:
+    """Where each list begins and the last one ends in the flattened array."""
+    return np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))])
+
+
 @dataclass
 class UnigramScorer:
     """Add-one unigram statistics of a corpus. A stand-in that exercises every formula; it says nothing about membership."""
 
-    counts: DataFrame  # tok, c
+    counts: DataFrame | Frequencies  # tok, c
 
     def score(self, tokens: DataFrame) -> DataFrame:
-        frequencies = Frequencies(self.counts)
+        frequencies = self.counts if isinstance(self.counts, Frequencies) else Frequencies(self.counts)
         mu, sigma = frequencies.moments()
         flat = lambda x: F.array_repeat(F.lit(x), F.size("w"))
         return frequencies.log_frequencies(tokens.select("id", "w")).select("id", F.col("w").alias("ids"), "lp", flat(mu).alias("mu"), flat(sigma).alias("sigma"))
@@ -121,27 +126,28 @@ def tokens_of(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), words(text).alias("w"))
 
 
-def calibrated_frequency(stats: DataFrame, counts: DataFrame, ceilings: Sequence[float] = (0.01,)) -> DataFrame:
+def calibrated_frequency(stats: DataFrame, counts: DataFrame | Frequencies, ceilings: Sequence[float] = (0.01,)) -> DataFrame:
     """id, ceiling, dcpdd: over first occurrences of each token, the mean of p * ln(1 / f), ``ceiling`` at most; f is the add-one frequency.
 
     All ceilings are swept over the same tokens. Records without tokens have no row.
     """
-    first = F.transform(F.array_distinct("ids"), lambda t: F.struct(t.alias("tok"), F.get(F.col("lp"), F.array_position("ids", t).cast("int") - 1).alias("lp")))
-    if not Frequencies(counts).fits:
-        n, v = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
-        rows = stats.select("id", F.explode(first).alias("x")).select("id", "x.*").join(counts, "tok", "left")
-        value = F.exp("lp") * F.log(F.lit(float(n + v)) / (F.coalesce("c", F.lit(0)) + 1))
+    known = counts if isinstance(counts, Frequencies) else Frequencies(counts)
+    if not known.fits:
+        first = F.transform(F.array_distinct("ids"), lambda t: F.struct(t.alias("tok"), F.get(F.col("lp"), F.array_position("ids", t).cast("int") - 1).alias("lp")))
+        rows = stats.select("id", F.explode(first).alias("x")).select("id", "x.*").join(known.counts, "tok", "left")
+        value = F.exp("lp") * F.log(F.lit(float(known.n + known.v)) / (F.coalesce("c", F.lit(0)) + 1))
         return rows.withColumn("ceiling", F.explode(F.array(*map(F.lit, ceilings)))).groupBy("id", "ceiling").agg(F.avg(F.least(value, F.col("ceiling"))).alias("dcpdd"))
-    look_up = Frequencies(counts)._look_up()
+    look_up = known._look_up()
 
-    @F.pandas_udf("array<double>")
-    def swept(hashes: pd.Series, lps: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def swept(hashes: pa.Array, lps: pa.Array) -> pa.Array:
+        ends, words, lp = offsets_of(hashes), hashes.flatten().to_numpy(), lps.flatten().to_numpy()
+        weighted = np.exp(lp) * -look_up(words)
         out = []
-        for h, lp in zip(hashes, lps):
-            h, at = np.unique(np.asarray(h, np.int64), return_index=True)
-            value = np.exp(np.asarray(lp, float)[at]) * -look_up(h)
+        for a, b in zip(ends[:-1], ends[1:]):
+            value = weighted[a:b][np.unique(words[a:b], return_index=True)[1]]
             out.append([float(np.minimum(value, c).mean()) for c in ceilings])
-        return pd.Series(out)
+        return pa.array(out, pa.list_(pa.float64()))
 
     rows = stats.where(F.size("ids") > 0).select("id", swept(F.transform("ids", lambda t: F.xxhash64(t)), F.col("lp")).alias("s"))
     pairs = F.explode(F.arrays_zip(F.array(*map(F.lit, ceilings)).alias("ceiling"), F.col("s").alias("dcpdd")))

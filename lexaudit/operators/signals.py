@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType
 
 from lexaudit.functions import vectorised as V
 from lexaudit.operators.running import running_totals
+from lexaudit.operators.scoring import offsets_of
 
 #: Lengths at which signals are cut, thresholds and numbers of bins. The first cut leaves out the last token.
 CUTS, HEAD, TREND_CUTS, BEFORE_CUTS = (-1, 200, 300), 200, (600, 800, 1000), (10**9, 200, 300)
@@ -88,27 +89,27 @@ def signals(stats: DataFrame, groups: Sequence[str] = GROUPS) -> DataFrame:
 
     A record without tokens has no rows; what is too short for a signal is NaN. ``groups`` chooses signals: base, parse (phrase
     counts), before (against the running mean), repetition (differences of occurrences), trend and entropy (of the repeated
-    sequence). Records are mapped one by one; token ids are told apart by equality only.
+    sequence). Records are mapped one by one; token ids are told apart by 64-bit hashes.
     """
-    repeated = "rep_lp" in stats.columns
-    rows = stats.select("id", "ids", "lp", *(("rep_ids", "rep_lp") if repeated else ()))
+    repeated = "rep_lp" in stats.columns and bool({"repetition", "trend", "entropy"} & set(groups))
+    number = lambda c: F.transform(c, lambda t: F.xxhash64(t)).alias(c)
+    rows = stats.select("id", number("ids"), "lp", *((number("rep_ids"), "rep_lp") if repeated else ()))
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.empty(0)
         for batch in batches:
-            names, kinds, variations, values, at = batch.column(0).to_pylist(), [], [], [], []
-            for i, row in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]))):
-                ids, lp, rep_ids, rep_lp = (*row, *(() if repeated else (none, none)))
-                code = {t: k for k, t in enumerate(dict.fromkeys(ids or ()))}
-                own = np.array([code[t] for t in ids or ()], np.int64)
-                rep = np.array([code.get(t, len(code)) for t in (rep_ids if rep_ids is not None else ())], np.int64)
-                got = of_record(np.array(lp or (), float), own, np.array(rep_lp if rep_lp is not None else (), float), rep, groups)
+            lists = [(offsets_of(c), c.flatten().to_numpy(zero_copy_only=False)) for c in batch.columns[1:]]
+            kinds, variations, values, at = [], [], [], []
+            for i in range(batch.num_rows):
+                ids, lp, *rest = (x[ends[i] : ends[i + 1]] for ends, x in lists)
+                rep_ids, rep_lp = rest or (none, none)
+                got = of_record(lp, ids, rep_lp, rep_ids, groups)
                 for name in sorted(got):
                     kinds += [name] * len(got[name])
                     variations += range(len(got[name]))
                     values += got[name].tolist()
-                    at += [names[i]] * len(got[name])
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(kinds, pa.string()), pa.array(variations, pa.int32()), pa.array(values, pa.float64())], names=["id", "signal", "variation", "value"])
+                    at += [i] * len(got[name])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(kinds, pa.string()), pa.array(variations, pa.int32()), pa.array(values, pa.float64())], names=["id", "signal", "variation", "value"])
 
     return rows.mapInArrow(f, ROWS)
 

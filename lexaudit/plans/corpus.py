@@ -11,7 +11,7 @@ from lexaudit.operators import construction as C
 from lexaudit.operators import scoring
 from lexaudit.plans.inputs import tokens
 from lexaudit.sources import records
-from lexaudit.sources.tables import read_table
+from lexaudit.sources.tables import read_table, spread
 
 QUERIES = {}
 ORACLES = {}
@@ -214,7 +214,7 @@ def frequency_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT source, n / size AS p, (c - n) / ((SELECT sum(c) FROM c) - size) AS q FROM s JOIN z USING (source) JOIN c USING (tok))
 SELECT source, round(sum(0.5 * p * log2(2 * p / (p + q)) + CASE WHEN q > 0 THEN 0.5 * q * log2(2 * q / (p + q)) ELSE 0 END) + 0.5 * (1 - sum(q)), 6) AS jsd FROM r GROUP BY source""")
 def jsd_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("source", F.explode(T.words(F.col("text"))).alias("tok"))
+    docs = spread(read_table(spark, sf_dir, "documents").select("source", "text")).select("source", F.explode(T.words(F.col("text"))).alias("tok"))
     return C.divergence(docs.groupBy("source", "tok").agg(F.count(F.lit(1)).alias("n")), "source").select("source", F.round("jsd", 6).alias("jsd"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexaudit.functions.text import words
 from lexaudit.operators import scoring
-from lexaudit.sources.tables import read_table
+from lexaudit.sources.tables import read_table, spread
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, sf_dir: str, table: str = "documents", key: str = "doc_id") -> DataFrame:
     """id, w: lower-cased words."""
-    return scoring.tokens_of(read_table(spark, sf_dir, table), key, F.col("text"))
+    return scoring.tokens_of(spread(read_table(spark, sf_dir, table).select(key, "text")), key, F.col("text"))
 
 
 def unigram_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,4 +32,4 @@ def lowered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, w, low: case-keeping words and lower-cased words."""
     text = F.col("text")
     kept = F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), kept.alias("w"), words(text).alias("low"))
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), kept.alias("w"), words(text).alias("low"))

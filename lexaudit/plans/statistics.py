@@ -70,8 +70,8 @@ def dcpdd_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _calibrated(spark: SparkSession, sf_dir: str, ceilings) -> DataFrame:
     t = tokens(spark, sf_dir).where(F.size("w") > 0)
-    counts = scoring.token_counts(t)
-    return scoring.calibrated_frequency(scoring.UnigramScorer(counts).score(t), counts, ceilings)
+    known = scoring.Frequencies(scoring.token_counts(t))
+    return scoring.calibrated_frequency(scoring.UnigramScorer(known).score(t), known, ceilings)
 
 
 @query(STATS + f", f AS (SELECT DISTINCT id, tok, c, lp FROM s), g AS (SELECT unnest({list(METHOD_GRIDS['dcpdd']['alpha'])}) AS ceiling) SELECT id, ceiling::DOUBLE AS ceiling, round(avg(least(exp(lp) * ln((n + v) / (c + 1)), ceiling)), 9) AS dcpdd FROM f, z, g GROUP BY ALL")
@@ -89,7 +89,7 @@ b AS (SELECT id, avg(round(ln((coalesce(c, 0) + 1) / (n + v)) * 1048576) / 10485
 
 def _cased(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lowered(spark, sf_dir).where(F.size("w") > 0)
-    scorer = scoring.UnigramScorer(scoring.token_counts(t.select("id", "w")))
+    scorer = scoring.UnigramScorer(scoring.Frequencies(scoring.token_counts(t.select("id", "w"))))
     one = scorer.score(t.select("id", "w")).select("id", A.mean(F.col("lp")).alias("x"))
     two = scorer.score(t.select("id", F.col("low").alias("w"))).select("id", A.mean(F.col("lp")).alias("y"))
     return one.join(two, "id")
@@ -118,7 +118,7 @@ def augmented_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     copies = docs.select("id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("k"), "text").select("id", V.swap_words("text", F.concat_ws(":", "id", "k")).alias("text"), "k")
     t = tokens(spark, sf_dir).where(F.size("w") > 0)
-    scorer = scoring.UnigramScorer(scoring.token_counts(t))
+    scorer = scoring.UnigramScorer(scoring.Frequencies(scoring.token_counts(t)))
     pd = lambda s, name: s.select("id", A.polarised(F.col("lp")).alias(name))
     own = pd(scorer.score(t), "own")
     numbered = copies.select(F.struct("id", "k").alias("id"), words(F.col("text")).alias("w"))

@@ -145,7 +145,7 @@ def test_annealing_keeps_the_margin():
     assert C.Matching(np.ones(2), days=np.array([1.0, 3.0])).loss(np.ones(2), np.array([4.0, 4.0])) == pytest.approx(2 + 1)
 
 
-def test_resampling(spark):
+def test_resampling(spark, monkeypatch):
     tests = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03)], "k string, p double")
     assert {r.k: round(r.p_holm, 6) for r in R.holm(tests, "k", "p").collect()} == {"a": 0.03, "c": 0.06, "b": 0.06}
     pairs = spark.createDataFrame([(1, x) for x in (1.0, -2.0, 3.0, 3.0, 0.0)], "g int, d double")
@@ -154,6 +154,8 @@ def test_resampling(spark):
     rows = spark.createDataFrame([(i, "l", i % 2 == 0, float(i % 7)) for i in range(60)], "doc_id int, lang string, member boolean, score double")
     a, b = (R.bootstrap_interval(x, ["lang"], "doc_id", 50, "s").first() for x in (rows, rows.repartition(6)))
     assert a == b and 0 <= a.lo <= a.hi <= 1
+    monkeypatch.setattr(R, "CELL_ROWS", 10)
+    assert tuple(R.bootstrap_interval(rows, ["lang"], "doc_id", 50, "s").first()) == pytest.approx(tuple(a)[:1] + tuple(a)[1:])
 
 
 def brute_parse(x, bins):
