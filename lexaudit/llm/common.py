@@ -28,8 +28,17 @@ def held(key, build: Callable):
     return _HELD[key]
 
 
+#: A table of fewer bytes for each core comes in too few splits to occupy the cores, and is dealt over them.
+CORE_BYTES = 4 << 20
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    table, cores = spark.read.parquet(path), context.defaultParallelism
+    return table.repartition(cores) if size < CORE_BYTES * cores else table
 
 
 def ascii_lower(column: Column | str) -> Column:
