@@ -22,7 +22,7 @@ from lexaudit.llm.common import cut, drop_path, heavy_of, salted_join, written
 
 LENGTH, GRAM = 400, 16
 #: Bytes of segments in a shard, about.
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 2_000_000
 
 _TABLE = np.random.default_rng(5).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
