@@ -32,7 +32,7 @@ MIN_COUNT, MIN_TOTAL = 2, 32
 #: Bytes of text in a chunk that is scored, and bytes whose n-grams are in memory at a time.
 BATCH_BYTES, PIECE_BYTES = 16_000_000, 1 << 19
 #: N-grams sorted at a time, and distinct ones that a counting task holds.
-SORTED, HELD = 1 << 21, 1 << 21
+SORTED, HELD = 1 << 20, 1 << 21
 #: Bytes of training text for each part of the model, about; there are as many parts as shuffle partitions at least.
 PART_BYTES = 1 << 28
 #: Contexts are dealt by their last three bytes, so the trie of orders 3 and up is complete in each part.
@@ -130,11 +130,10 @@ def count_blocks(docs: DataFrame, parts: int) -> DataFrame:
     """kind, part, n, data: counts of word hashes and of byte n-grams of ``text``, in compressed blocks, several for each part."""
 
     def emit(kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        where = gram_part(keys, parts) if kind == GRAM_KIND else _mixed(keys, parts)
+        where = (gram_part(keys, parts) if kind == GRAM_KIND else _mixed(keys, parts)).astype(np.int32)
         order = np.argsort(where, kind="stable")
-        keys, counts, where = keys[order], counts[order], where[order]
-        begins = np.searchsorted(where, np.arange(parts + 1))
-        got = [(p, squeeze(keys[a:b], counts[a:b])) for p, (a, b) in enumerate(zip(begins[:-1], begins[1:])) if b > a]
+        ends = np.cumsum(np.bincount(where, minlength=parts))
+        got = [(p, squeeze(keys[order[a:b]], counts[order[a:b]])) for p, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())) if b > a]
         return pa.RecordBatch.from_arrays([pa.array([kind] * len(got), pa.int32()), pa.array([p for p, _ in got], pa.int32()), pa.array([d for _, d in got], pa.binary())], names=["kind", "part", "data"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
