@@ -459,3 +459,17 @@ def test_stream_of_windows(spark, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("daily").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("daily").select("start", "n", "total").collect())) == sorted(map(tuple, windows.tumbling(events).select("start", "n", "total").collect()))
+
+
+def test_mink_sweep_sorts_each_text_once(spark, monkeypatch):
+    rng, shares = random.Random(5), methods.GRIDS["minkprob"]["k"]
+    lps = [[-rng.randint(0, 40) / 8 for _ in range(n)] for n in (1, 2, 7, 30)] + [[-1.0, None, -3.0], [float("nan"), -2.0], [], None]
+    rows = [(i, lp, lp and [-1.0] * len(lp), lp and [2.0] * len(lp)) for i, lp in enumerate(lps)]
+    table = spark.createDataFrame(rows, "id int, lp array<double>, mu array<double>, sigma array<double>")
+    lp, kinds = F.col("lp"), (("mink", A.min_k), ("minkpp", lambda x, k: A.min_k_plus(x, F.col("mu"), F.col("sigma"), k)))
+    slow = table.select("id", F.explode(F.array(*[F.struct(F.lit(f"{name}={k:g}").alias("setting"), f(lp, k).alias("score")) for name, f in kinds for k in shares])).alias("c")).select("id", "c.*")
+    plain = lambda df: sorted((r.id, r.setting, str(r.score)) for r in df.collect())
+    assert plain(methods.swept("minkprob", table)) == plain(slow)
+    only = methods.swept("minkprob", table, ["mink"])
+    assert plain(only) == [r for r in plain(slow) if r[1].startswith("mink=")]
+    assert "array_sort" not in only._jdf.queryExecution().toString()
