@@ -473,3 +473,17 @@ def test_mink_sweep_sorts_each_text_once(spark, monkeypatch):
     only = methods.swept("minkprob", table, ["mink"])
     assert plain(only) == [r for r in plain(slow) if r[1].startswith("mink=")]
     assert "array_sort" not in only._jdf.queryExecution().toString()
+
+
+def test_pac_sweep_sorts_each_text_once(spark):
+    rng = random.Random(8)
+    lp = lambda n: [-rng.randint(0, 40) / 8 for _ in range(n)]
+    rows = [(0, lp(30), [lp(9), lp(40)]), (1, lp(1), [lp(1)]), (2, lp(5), []), (3, [], [lp(3), None, []]), (4, None, [lp(3)]), (5, lp(4), None), (6, [-1.0, None], [lp(2)]), (7, lp(4), [[None, -1.0]]), (8, [float("nan"), -1.0], [lp(2)])]
+    table = spark.createDataFrame(rows, "id int, own array<double>, copies array<array<double>>")
+    grid = methods.GRIDS["pac"]
+    gap = lambda a, b: A.mean(F.transform("copies", lambda c: A.polarised(c, a, b))) - A.polarised(F.col("own"), a, b)
+    slow = table.select("id", F.explode(F.array(*[F.struct(F.lit(f"far={a:g},near={b:g}").alias("setting"), gap(a, b).alias("score")) for a in grid["far"] for b in grid["near"]])).alias("c")).select("id", "c.*")
+    got = methods.swept("pac", table)
+    plain = lambda df: sorted((r.id, r.setting, str(r.score)) for r in df.collect())
+    assert plain(got) == plain(slow)
+    assert "array_sort" not in got._jdf.queryExecution().toString()
