@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -16,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lexaudit.functions.vectorised import NumberedHashes
 from lexaudit.operators.evaluate import auc
 from lexaudit.operators.running import running_max, running_totals
 from lexaudit.storage import settle
@@ -51,17 +51,18 @@ def weighted_auc(drawn: DataFrame, by: Sequence[str], score: str = "score") -> D
     return auc(tallied, by).select(*by, "auc")
 
 
-#: Rows of an evaluation cell up to which its scores travel as one array, and rounds computed at a time.
-CELL_ROWS, CELL_ROUNDS = 100_000, 25
+#: Rows of an evaluation cell up to which its scores travel as arrays, rounds computed at a time, and rows of a block from which the arrays are joined.
+CELL_ROWS, CELL_ROUNDS, CELL_BLOCK = 4_000_000, 25, 65_536
 
 
 def drawn_aucs(rows: DataFrame, by: Sequence[str], order: str, rounds: int, seed: str, score_cols: Sequence[str]) -> DataFrame:
     """by, b and an AUC for each of ``score_cols`` (under its name), null if a side is empty: members and non-members drawn separately, alike for all scores.
 
-    Cells of up to CELL_ROWS rows, which are benchmark leaves, are arrays, and rounds are dealt over tasks; larger ones go
-    through tallies of drawn rows. Draws are the same in both.
+    Cells of up to CELL_ROWS rows are arrays, 8 bytes for a score, and rounds are dealt over tasks, where draws are hashed and
+    tallied by array operations: no drawn row is ever shuffled. Larger ones go through tallies of drawn rows. Draws are the same in both.
     """
     rows = rows.select(*by, order, "member", F.col("member").cast("string").alias("__side"), *[F.col(c).cast("double").alias(c) for c in score_cols]).where("member is not null")
+    rows = settle(rows)  # read several times below
     largest = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if largest > CELL_ROWS:
         drawn, keys, out = settle(resampled(rows, [*by, "__side"], order, rounds, seed)), [*by, "b"], None
@@ -69,31 +70,40 @@ def drawn_aucs(rows: DataFrame, by: Sequence[str], order: str, rounds: int, seed
             cells = weighted_auc(drawn, keys, c).withColumnRenamed("auc", c)
             out = cells if out is None else out.join(cells, keys)
         return out
-    packed = numbered(rows, [*by, "__side"], order).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("member", "i", *score_cols))).alias("rows"))
+    block = F.floor(F.col("i") / CELL_BLOCK).alias("__block")
+    blocks = numbered(rows, [*by, "__side"], order).groupBy(*by, "member", block).agg(F.sort_array(F.collect_list(F.struct("i", *score_cols))).alias("r"))
+    packed = blocks.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("member", "__block", *[F.col(f"r.{c}").alias(c) for c in score_cols]))).alias("rows"))
     chunks = packed.select(*by, F.concat_ws("/", *by).alias("__name"), "rows", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1), F.lit(CELL_ROUNDS))).alias("__first"))
 
     @F.arrow_udf("array<array<double>>")
     def aucs(names: pa.Array, cells: pa.Array, firsts: pa.Array) -> pa.Array:
         out = []
         for name, cell, first in zip(names.to_pylist(), cells, firsts.to_pylist()):
-            table = cell.values
-            member = table.field("member").to_numpy(zero_copy_only=False)
-            values = [table.field(c).to_numpy(zero_copy_only=False) for c in score_cols]
-            codes = [np.unique(v, return_inverse=True) for v in values]
-            sides = [(f"{seed}:{name + '/' if name else ''}{side}:", np.flatnonzero(member == flag)) for side, flag in (("true", True), ("false", False))]
+            blocks = cell.values
+            member = blocks.field("member").to_numpy(zero_copy_only=False)
+            sides, sizes = [], []
+            for side, flag in (("true", True), ("false", False)):
+                own = blocks.filter(pa.array(member == flag))
+                values = [own.field(c).flatten().to_numpy(zero_copy_only=False) for c in score_cols]
+                sizes.append(len(values[0]))
+                sides.append((f"{seed}:{name + '/' if name else ''}{side}:", NumberedHashes(sizes[-1]), values))
+            kinds = [np.unique(np.concatenate([values[k] for _, _, values in sides]), return_inverse=True) for k in range(len(score_cols))]
+            codes = [[code[: sizes[0]].astype(np.int32), code[sizes[0] :].astype(np.int32)] for _, code in kinds]
+            pairs = float(sizes[0]) * float(sizes[1])
             got = []
             for b in range(first, min(first + CELL_ROUNDS, rounds)):
-                picked = [at[[int(md5(f"{text}{b}:{k}".encode()).hexdigest()[:8], 16) % len(at) for k in range(len(at))]] if len(at) else at for text, at in sides]
+                picked = [hashes(f"{text}{b}:") % np.uint32(max(n, 1)) for (text, hashes, _), n in zip(sides, sizes)] if pairs else None
                 line = []
-                for kinds, code in codes:
-                    pos, neg = (np.bincount(code[x], minlength=len(kinds)) for x in picked)
-                    pairs = float(pos.sum()) * float(neg.sum())
+                for (values, _), code in zip(kinds, codes):
+                    pos, neg = (np.bincount(c[x], minlength=len(values)) for c, x in zip(code, picked)) if pairs else (None, None)
                     line.append(float((pos * (np.cumsum(neg) - neg / 2)).sum()) / pairs if pairs else None)
                 got.append(line)
             out.append(got)
         return pa.array(out, pa.list_(pa.list_(pa.float64())))
 
-    rounds_of = chunks.repartition(F.xxhash64(*by, "__first") if by else F.col("__first")).select(*by, "__first", F.posexplode(aucs("__name", "rows", "__first")).alias("__k", "__v"))
+    tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    dealt = chunks.repartition(max(tasks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64(*by, "__first") if by else F.col("__first"))
+    rounds_of = dealt.select(*by, "__first", F.posexplode(aucs("__name", "rows", "__first")).alias("__k", "__v"))
     return rounds_of.select(*by, (F.col("__first") + F.col("__k")).alias("b"), *[F.col("__v")[k].alias(c) for k, c in enumerate(score_cols)])
 
 

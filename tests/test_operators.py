@@ -487,3 +487,18 @@ def test_pac_sweep_sorts_each_text_once(spark):
     plain = lambda df: sorted((r.id, r.setting, str(r.score)) for r in df.collect())
     assert plain(got) == plain(slow)
     assert "array_sort" not in got._jdf.queryExecution().toString()
+
+
+def test_numbered_hashes_are_md5():
+    draws = lambda text, n: [int(hashlib.md5(f"{text}{i}".encode()).hexdigest()[:8], 16) for i in range(n)]
+    for n in (0, 1, 10, 11, 1002, 12_000):
+        hashes = V.NumberedHashes(n)
+        for text in ("", "a", "ci:en/true:7:", "ci:en/false:1999:", "ü" * 30, "x" * 50):
+            assert hashes(text).tolist() == draws(text, n)
+
+
+def test_bootstrap_of_a_large_cell_shuffles_no_drawn_row(spark, monkeypatch):
+    rows = spark.range(120_001).select(F.col("id").alias("doc_id"), F.lit("l").alias("lang"), (F.col("id") % 5 > 0).alias("member"), (F.col("id") % 97).cast("double").alias("score"))
+    monkeypatch.setattr(R, "resampled", lambda *_: pytest.fail("drawn rows are shuffled"))
+    r = R.bootstrap_interval(rows, ["lang"], "doc_id", 5, "s").first()
+    assert 0.49 < r.lo < r.hi < 0.51
