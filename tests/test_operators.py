@@ -502,3 +502,19 @@ def test_bootstrap_of_a_large_cell_shuffles_no_drawn_row(spark, monkeypatch):
     monkeypatch.setattr(R, "resampled", lambda *_: pytest.fail("drawn rows are shuffled"))
     r = R.bootstrap_interval(rows, ["lang"], "doc_id", 5, "s").first()
     assert 0.49 < r.lo < r.hi < 0.51
+
+
+def test_large_cells_shuffle_no_drawn_row(spark, monkeypatch):
+    # above the 100,000 rows from which each drawn row was shuffled: 2.4 million for 20 rounds
+    rows = spark.range(120_001).select(F.col("id").alias("doc_id"), F.lit("l").alias("lang"), (F.col("id") % 5 > 0).alias("member"), (F.col("id") % 97).cast("double").alias("score_a"), (F.col("id") % 89).cast("double").alias("score_b"))
+    monkeypatch.setattr(R, "resampled", lambda *_: pytest.fail("drawn rows are shuffled"))
+    r = R.paired_interval(rows, ["lang"], "doc_id", 20, "s").first()
+    n, member, aucs = 120_001, np.arange(120_001) % 5 > 0, {"a": [], "b": []}
+    at = {"true": np.flatnonzero(member), "false": np.flatnonzero(~member)}
+    for b in range(20):
+        picked = {side: x[V.NumberedHashes(len(x))(f"s:l/{side}:{b}:") % len(x)] for side, x in at.items()}
+        for name, k in (("a", 97), ("b", 89)):
+            pos, neg = (np.bincount(picked[side] % k, minlength=k) for side in ("true", "false"))
+            aucs[name].append(float((pos * (np.cumsum(neg) - neg / 2)).sum()) / (len(at["true"]) * (n - len(at["true"]))))
+    d = np.array(aucs["a"]) - np.array(aucs["b"])
+    assert (r.delta, r.lo, r.hi) == pytest.approx((d.mean(), np.quantile(d, 0.025), np.quantile(d, 0.975)), abs=1e-12)
